@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_extendible_shards": sharding.op5_extendible_shards,
+    "op8_robust_quality": quality.op8_robust_quality,
 }
 
 ORACLES = {
