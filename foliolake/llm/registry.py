@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, spans
 
 QUERIES = {
+    "op2_sentence_spans": spans.op2_sentence_spans,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_extendible_shards": sharding.op5_extendible_shards,
     "op8_robust_quality": quality.op8_robust_quality,
