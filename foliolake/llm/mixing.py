@@ -23,7 +23,7 @@ from ._common import hash60, stage, table, word_count
 
 BLOCK_WORDS = 1024
 DOCS_PER_BUCKET = 1024
-CHUNK = 65536
+CHUNK = 4096
 
 
 def cycle_weights(n: int = 3):
@@ -91,7 +91,7 @@ def schedule(plan: DataFrame) -> DataFrame:
         .withColumn("rev_lo", _bitreverse(F.col("lo"), F.col("m")))
         .withColumn("rev_hi", F.when(F.col("hi") < whole, _bitreverse(F.col("hi"), F.col("m"))))
         .withColumn("chunk", F.explode(F.expr(f"sequence(lo, hi - 1, {CHUNK}L)")))
-        .repartition(F.col("idx"), F.col("chunk"))
+        .repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("idx"), F.col("chunk"))
         .withColumn("point", F.explode(F.expr(f"sequence(chunk, least(chunk + {CHUNK - 1}L, hi - 1))")))
         .withColumn("slot", _bitreverse(F.col("point"), F.col("m")))
         .withColumn("rank", F.when(F.col("rev_hi").isNull(), F.col("slot")).otherwise(before("rev_hi")) - before("rev_lo"))
@@ -149,6 +149,7 @@ def mix(docs: DataFrame, weights=cycle_weights(), most: int = 3, block_words: in
     blocks = placed.where("size > 0").withColumn("block_no", F.explode(F.expr("sequence(start div block, (stop - 1) div block)")))
     pieces = (
         schedule(plan)
+        .hint("merge")
         .join(blocks.select("idx", "block_no", "doc_id", "start", "stop"), ["idx", "block_no"])
         .withColumn("words", F.least("stop", "to_word") - F.greatest("start", "from_word"))
         .where("words > 0")
