@@ -45,7 +45,7 @@ def directory(keys: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     nodes = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("prefix", F.expr("substring(cell, 1, depth)"))
     sums = nodes.groupBy("prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
     sums = sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)).where(F.col("fits") | (F.length("prefix") == high))
-    best = nodes.select("cell", "prefix", "depth").join(sums, "prefix")
+    best = nodes.select("cell", "prefix", "depth").join(sums.hint("merge"), "prefix")
     return best.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs", "fits")).alias("x")).select("cell", "x.*")
 
 
