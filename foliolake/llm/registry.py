@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, spans
+from . import mixing, ngram_join, quality, sharding, spans
 
 QUERIES = {
     "op2_sentence_spans": spans.op2_sentence_spans,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_extendible_shards": sharding.op5_extendible_shards,
     "op8_robust_quality": quality.op8_robust_quality,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
 }
 
 ORACLES = {
     "op4_mix_sources": mixing.ORACLE,
     "op5_extendible_shards": sharding.ORACLE,
+    "op9_ngram_jaccard": ngram_join.ORACLE,
 }
