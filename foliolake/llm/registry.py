@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, quality, sharding, spans
+from . import mixing, ngram_join, quality, sharding, spans, suffixes
 
 QUERIES = {
     "op2_sentence_spans": spans.op2_sentence_spans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_extendible_shards": sharding.op5_extendible_shards,
     "op8_robust_quality": quality.op8_robust_quality,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+    "op10_suffix_lpf": suffixes.op10_suffix_lpf,
 }
 
 ORACLES = {
