@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import release, small_batches, stage, sweep, table
-from ._groups import components, shared_keys
+from ._groups import link, shared_keys
 from ._words import chained, mixed, slices, word_hashes, words
 
 WORDS = 4
@@ -170,10 +170,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
-def similar(n: str, m: str, percent: int) -> F.Column:
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)).alias("near")
-
-
 def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
@@ -195,35 +191,7 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
     asked = groups.select("doc").distinct()
     sets = stage(texts.join(asked, "doc", "left_semi").mapInArrow(_whole_sets(words_each), "doc long, tokens binary"), "join-tokens")
     sweep(spark)
-    rank = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "doc").alias("r"), "doc", "n"))
-    centre = groups.groupBy("key").agg(rank(1).alias("c1"), rank(2).alias("c2"))
-    star = (
-        groups.join(centre, "key")
-        .select("doc", "n", F.explode(F.array("c1", "c2")).alias("c"))
-        .where(F.col("doc") != F.col("c.doc"))
-        .where(similar("n", "c.n", percent))
-        .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-        .distinct()
-    )
-    near = stage(verified(star, sets, percent), "join-links")
-    sweep(spark)
-    found = stage(components(near), "join-components")
-    # what is left: members of one signature's group that lie in different components
-    placed = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_groups = stage(placed.join(mixed_keys, "key").select("key", "doc", "n", "component"), "join-open")
-    one, other = (open_groups.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component")]) for i in (1, 2))
-    rest = (
-        one.join(other, "key")
-        .where("component1 < component2")
-        .where(similar("n1", "n2", percent))
-        .select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = stage(verified(rest, sets, percent), "join-more")
-    if more.limit(1).count():
-        found = stage(components(near.unionByName(more)), "join-components")
+    found = link(groups, lambda pairs: verified(pairs, sets, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m))
     named = full.select("doc", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
     alone = every.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     out = named.select("doc", "n", F.coalesce("component", "head").alias("component_id")).unionByName(alone)
