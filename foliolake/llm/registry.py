@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fuzzy_lines, mixing, ngram_join, quality, sharding, spans, suffixes
+from . import decontamination, fuzzy_lines, mixing, ngram_join, quality, sharding, spans, suffixes
 
 QUERIES = {
     "op2_sentence_spans": spans.op2_sentence_spans,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_extendible_shards": sharding.op5_extendible_shards,
+    "op6_latent_leaks": decontamination.op6_latent_leaks,
     "op7_fuzzy_lines": fuzzy_lines.op7_fuzzy_lines,
     "op8_robust_quality": quality.op8_robust_quality,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
