@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, mixing, ngram_join, quality, sharding, spans, suffixes
+from . import decontamination, fuzzy_lines, mixing, ngram_join, personal_data, quality, sharding, spans, suffixes
 
 QUERIES = {
     "op2_sentence_spans": spans.op2_sentence_spans,
+    "op3_crf_personal_data": personal_data.op3_crf_personal_data,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_extendible_shards": sharding.op5_extendible_shards,
     "op6_latent_leaks": decontamination.op6_latent_leaks,
