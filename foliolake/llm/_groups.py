@@ -42,11 +42,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link(groups: DataFrame, verify, near=None) -> DataFrame:
-    """Components (node, component) of the documents of ``groups`` (key, doc, n) under ``verify``.
+def link(groups: DataFrame, verify, near=None, least: int = 1) -> DataFrame:
+    """Components (node, component) of the documents of ``groups`` (key, doc, n, w) under ``verify``.
 
     ``verify`` takes pairs a, b and gives those that are links; ``near`` takes two
-    columns of n and says whether a pair can be one. Every document is compared
+    columns of n and says whether a pair can be one; the weights w of the keys that a
+    pair shares must sum to ``least``. Every document is compared
     with two centres of each of its groups, the members of least rank in two
     orders; links found there make components; then those pairs of a group that
     lie in different components are compared. No pair inside a component that is known
@@ -55,14 +56,15 @@ def link(groups: DataFrame, verify, near=None) -> DataFrame:
     spark = groups.sparkSession
     near = near or (lambda n, m: F.lit(True))
     rank = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "doc").alias("r"), "doc", "n"))
-    centre = groups.groupBy("key").agg(rank(1).alias("c1"), rank(2).alias("c2"))
+    own = lambda c: F.struct(F.col(f"{c}.doc"), F.col(f"{c}.n")).alias(c)
+    centre = groups.groupBy("key").agg(rank(1).alias("c1"), rank(2).alias("c2")).select("key", own("c1"), own("c2"))
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     star = (
         groups.join(centre, "key")
-        .select("doc", "n", F.explode(F.array("c1", "c2")).alias("c"))
+        .select("doc", "n", "w", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
         .where((F.col("doc") != F.col("c.doc")) & near(F.col("n"), F.col("c.n")))
-        .select(*ends("doc", "c.doc"))
-        .distinct()
+        .select(*ends("doc", "c.doc"), "w")
+        .groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("a", "b")
     )
     star = stage(star, "pairs")
     sweep(spark)
@@ -71,17 +73,19 @@ def link(groups: DataFrame, verify, near=None) -> DataFrame:
     found = stage(components(links), "components")
     placed = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_groups = stage(placed.join(open_keys, "key").select("key", "doc", "n", "component"), "groups-open")
-    one, other = (open_groups.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component")]) for i in (1, 2))
+    open_groups = stage(placed.join(open_keys, "key").select("key", "doc", "n", "w", "component"), "groups-open")
+    one, other = (open_groups.select("key", *["w"] * (i == 1), *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component")]) for i in (1, 2))
     rest = (
         one.join(other, "key")
         .where((F.col("component1") < F.col("component2")) & near(F.col("n1"), F.col("n2")))
-        .select(*ends("doc1", "doc2"))
-        .distinct()
+        .select(*ends("doc1", "doc2"), "w")
+        .groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("a", "b")
         .join(star, ["a", "b"], "left_anti")
     )
+    rest = stage(rest, "pairs-rest")
+    sweep(spark)
     more = stage(verify(rest), "links-more")
-    release(open_groups, star)
+    release(open_groups, star, rest)
     if more.limit(1).count():
         found = stage(components(links.unionByName(more)), "components")
     return found

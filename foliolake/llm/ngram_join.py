@@ -2,10 +2,11 @@
 
 A document's tokens are the hashes of its distinct shingles. Tokens are ordered
 rare class first, then frequent class, by hash inside a class. Two sets that
-reach the threshold share the ``K`` = 2 first of their common tokens inside their
-prefixes of ``n - ceil(t * n) + K`` tokens. So they share a rare token there, which is indexed
-alone, or else two frequent tokens, which are indexed as a pair; both sides of
-a link always have a signature in common. Sets of more than ``LONG`` tokens would
+reach the threshold share the ``K`` = 4 first of their common tokens inside their
+prefixes of ``n - ceil(t * n) + K`` tokens. Rare tokens are indexed alone, frequent ones
+in pairs: the two sets share three rare tokens there, or else two frequent ones
+and so a pair. A pair of documents is a candidate if it shares three single tokens or
+one pair. Sets of more than ``LONG`` tokens would
 have too many pairs and index frequent tokens alone; sets near that size have
 both kinds, so that no link across it is lost.
 
@@ -40,7 +41,9 @@ from ._words import chained, mixed, slices, word_hashes, words
 
 WORDS = 4
 PERCENT = 85
-K = 2
+K = 4
+#: Shared single tokens that make a candidate; a shared pair of frequent ones counts as many.
+SINGLES = 3
 LONG = 256
 COUNTER_BITS = 22
 PAGE = 14
@@ -102,11 +105,12 @@ def frequent_class(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.ndar
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, k: int = K, long: int = LONG) -> np.ndarray:
-    """The signatures of one set."""
+    """The signatures of one set: even for single tokens, odd for pairs."""
     n = len(tokens)
     need = -(-percent * n // 100)
-    if n < 2 or need < k:
-        return tokens  # such sets link with equal ones only, or share every token
+    if need < k:
+        # small sets: a link shares at least `need` of all tokens; one of each is enough for a candidate
+        return tokens | np.uint64(1)
     often = frequent[_counter(tokens, COUNTER_BITS)]
     rare, rest = tokens[~often], tokens[often]
     prefix = n - need + k
@@ -114,9 +118,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT,
     out = [rare[:prefix]]
     if 100 * n > percent * long:
         out.append(rest)
+    out = [x & ~np.uint64(1) for x in out]
     if percent * n <= 100 * long and len(rest) > 1:
         a, b = np.triu_indices(len(rest), 1)
-        out.append(mixed(rest[a] * np.uint64(0x9E3779B97F4A7C15) + mixed(rest[b])))
+        out.append(mixed(rest[a] * np.uint64(0x9E3779B97F4A7C15) + mixed(rest[b])) | np.uint64(1))
     return np.unique(np.concatenate(out))
 
 
@@ -163,11 +168,17 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets reach the threshold."""
+def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """The pairs a, b whose whole sets reach the threshold. ``texts``: doc, text."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = stage(texts.join(asked, "doc", "left_semi").mapInArrow(_whole_sets(words_each), "doc long, tokens binary"), "join-tokens")
+    sweep(pairs.sparkSession)
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
+    found = stage(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "join-links")
+    release(sets)
+    sweep(pairs.sparkSession)
+    return found
 
 
 def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -184,14 +195,10 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
     postings = lambda: full.join(owner, ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", F.explode("sigs").alias("key"))
     keys = stage(shared_keys(postings()).select("key"), "join-keys")
     sweep(spark)
-    groups = stage(postings().join(keys, "key"), "join-groups")
+    groups = stage(postings().join(keys, "key").withColumn("w", F.when(F.col("key") % 2 == 0, 1).otherwise(SINGLES)), "join-groups")
     release(keys)
     sweep(spark)
-    # sets of the documents that have candidates
-    asked = groups.select("doc").distinct()
-    sets = stage(texts.join(asked, "doc", "left_semi").mapInArrow(_whole_sets(words_each), "doc long, tokens binary"), "join-tokens")
-    sweep(spark)
-    found = link(groups, lambda pairs: verified(pairs, sets, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m))
+    found = link(groups, lambda pairs: verified(pairs, texts, words_each, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), SINGLES)
     named = full.select("doc", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
     alone = every.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     out = named.select("doc", "n", F.coalesce("component", "head").alias("component_id")).unionByName(alone)
