@@ -127,7 +127,7 @@ def streams(sizes: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
         .withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(*past)), F.lit(0)))
         .drop("words")
     )
-    inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size").rowsBetween(*past)
+    inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size", "fp").rowsBetween(*past)
     return (
         rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(buckets, ["idx", "bucket"])
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights=cycle_weights(), most: int = 3, block_words: in
     A piece is slot, idx, start (names the document), words: the slots in
     order, each with the words of the documents that its block holds, are the mix.
     """
-    sizes = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = stage(docs.select("doc_id", F.xxhash64("text").alias("fp"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     plan = stage(source_plan(sizes, weights, most, block_words).coalesce(1), "mix-plan")
     placed = stage(streams(sizes, plan, seed), "mix-streams")
     blocks = placed.where("size > 0").withColumn("block_no", F.explode(F.expr("sequence(start div block, (stop - 1) div block)")))
@@ -159,12 +159,20 @@ def mix(docs: DataFrame, weights=cycle_weights(), most: int = 3, block_words: in
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, taken."""
+    """Per row of ``docs``: doc_id, fp (a hash of its text), source, size, source_size, target, taken."""
     placed, pieces = mix(docs, **options)
     taken = pieces.groupBy("idx", F.col("start")).agg(F.sum("words").alias("taken"))
     some = placed.where("size > 0").join(taken, ["idx", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
-    return some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return some.unionByName(none).select("doc_id", "fp", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each as often as its words are taken, to the nearest whole number."""
+    whole = (F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = taken_words(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.max(whole).alias("_copies")).where("_copies > 0")
+    found = docs.withColumn("_print", F.xxhash64("text")).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -97,14 +97,14 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 def _measure(batches):
     for b in batches:
         rows = list(zip(*map(counts, b.column("text").to_pylist()))) or [()] * len(_COUNTS)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), *[pa.array(r, pa.int64()) for r in rows]], ["doc_id", "lang", "source", *_COUNTS])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), b.column("lang"), b.column("source"), *[pa.array(r, pa.int64()) for r in rows]], ["doc_id", "fp", "lang", "source", *_COUNTS])
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each text."""
+    """doc_id, fp (a hash of the text), lang, source and the counts of each text."""
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(_measure, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    narrow = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(_measure, "doc_id long, fp long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def vector() -> F.Column:
@@ -222,7 +222,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, alpha: float = ALPHA) ->
     cutoff = chi_square(P, 1 - alpha)
     return named.join(estimates, "grp", "left").withColumn("distance", _distance("center", "inverse") / F.col("scale")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
-    ).select("doc_id", "lang", "source", *_COUNTS, "base_failed", "distance", "kept")
+    ).select("doc_id", "fp", "lang", "source", *_COUNTS, "base_failed", "distance", "kept")
 
 
 def op8_robust_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, mixing, ngram_join, personal_data, quality, sharding, spans, suffixes
+from . import decontamination, fuzzy_lines, mixing, ngram_join, personal_data, perspectives, quality, sharding, spans, suffixes
 
 QUERIES = {
+    "op1_perspective_rotation": perspectives.op1_perspective_rotation,
     "op2_sentence_spans": spans.op2_sentence_spans,
     "op3_crf_personal_data": personal_data.op3_crf_personal_data,
     "op4_mix_sources": mixing.op4_mix_sources,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_perspective_rotation": perspectives.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op5_extendible_shards": sharding.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
