@@ -63,9 +63,13 @@ def release(*tables: DataFrame) -> None:
 def sweep(spark: SparkSession) -> None:
     """Ask for a collection in the driver's JVM; only then does Spark delete the shuffle files of dropped plans."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go in one round, the JVM finds in the next
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)
 
 
 def word_count(text: F.Column) -> F.Column:

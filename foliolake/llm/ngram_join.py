@@ -44,6 +44,8 @@ PERCENT = 85
 K = 4
 #: Shared single tokens that make a candidate; a shared pair of frequent ones counts as many.
 SINGLES = 3
+#: Groups of so many members are crowds, see :func:`bounded_groups`.
+CROWD = 6
 LONG = 256
 COUNTER_BITS = 22
 PAGE = 14
@@ -168,6 +170,34 @@ def _verify(percent: int):
     return run
 
 
+def _explode_tokens(k: int):
+    def run(batches):
+        for batch in batches:
+            docs = batch.column("doc").to_numpy()
+            for i, _, data, bounds in slices(batch.column("text")):
+                found = list(token_sets(data, bounds, k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(docs[i : i + len(found)], [len(t) for t in found]))], ["token", "doc"])
+
+    return run
+
+
+def bounded_groups(groups: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """``groups`` with n as a struct of size and most (the tokens that a partner can share).
+
+    In groups of ``CROWD`` members or more, tokens that no other member of such groups has can't be shared there. Members that
+    could reach the threshold with nobody leave those groups, and pairs are measured by what they can share at most.
+    """
+    crowds = stage(groups.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "join-crowds")
+    inside = stage(groups.join(crowds, "key"), "join-crowded")
+    tokens = texts.join(inside.select("doc").distinct(), "doc", "left_semi").mapInArrow(_explode_tokens(words_each), "token long, doc long")
+    # a document's rows of one doc_id are one member
+    alone = tokens.groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+    sized = lambda most: F.struct(F.col("n").alias("size"), most.alias("most")).alias("n")
+    kept = inside.join(stage(alone, "join-alone"), "doc", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    rest = groups.join(crowds, "key", "left_anti")
+    return kept.select("key", "doc", sized(F.col("most")), "w").unionByName(rest.select("key", "doc", sized(F.col("n")), "w"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
     """The pairs a, b whose whole sets reach the threshold. ``texts``: doc, text."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
@@ -198,7 +228,14 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
     groups = stage(postings().join(keys, "key").withColumn("w", F.when(F.col("key") % 2 == 0, 1).otherwise(SINGLES)), "join-groups")
     release(keys)
     sweep(spark)
-    found = link(groups, lambda pairs: verified(pairs, texts, words_each, percent), lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m), SINGLES)
+    groups = stage(bounded_groups(groups, texts, words_each, percent), "join-bounded")
+    sweep(spark)
+
+    def near(x, y):
+        common = F.least(x["most"], y["most"])
+        return 100 * common >= percent * (x["size"] + y["size"] - common)
+
+    found = link(groups, lambda pairs: verified(pairs, texts, words_each, percent), near, SINGLES)
     named = full.select("doc", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
     alone = every.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     out = named.select("doc", "n", F.coalesce("component", "head").alias("component_id")).unionByName(alone)
