@@ -1,4 +1,8 @@
 """The engine's queries by name, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import table_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES}
