@@ -84,3 +84,8 @@ def hash60(text: F.Column) -> F.Column:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Whole texts go to Python in batches of few rows, so that very long ones don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def let(value: F.Column, body) -> F.Column:
+    """``body`` of ``value``, which is worked out once per row however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
