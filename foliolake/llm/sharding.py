@@ -26,7 +26,7 @@ SHARD_BYTES = 1 << 20
 FINER = 5
 STEP = 12
 BITS = 60
-ROUNDS = 9
+ROUNDS = 12
 
 _ADDED = ("_n", "_bits", "_cell", "_depth", "_at")
 
@@ -56,7 +56,7 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES, key: str = "doc_id",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_n"), _bits(hash60(who), BITS).alias("_bits"))
     total = rows.agg(F.sum("_n")).first()[0] or 0
     high = min(BITS - STEP, max(0, math.ceil(math.log2(max(1, total / shard_bytes)))) + FINER)
-    low, done = 0, None
+    low, have, done = 0, BITS, None
     for k in range(ROUNDS):
         found = stage(directory(rows.select("_bits", "_n"), shard_bytes, low, high).coalesce(64), "shard-directory")
         last = k == ROUNDS - 1
@@ -69,7 +69,8 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES, key: str = "doc_id",
         if not over:
             break
         rows = placed.where("not fits").select("row", "_n", "_bits")
-        if high + STEP > BITS + k * BITS:
+        if high + STEP > have:
+            have += BITS
             more = hash60(F.concat_ws(":", F.lit(str(k)), F.coalesce(F.col(f"row.`{key}`").cast("string"), F.lit("")), F.coalesce(F.col(f"row.`{text}`"), F.lit(""))))
             rows = rows.withColumn("_bits", F.concat("_bits", _bits(more, BITS)))
         low, high = high + 1, high + STEP
