@@ -202,20 +202,23 @@ def remove_later_copies(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("fp"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    # rows that share a doc_id are told apart by a hash of their texts, all others need none
+    several = stage(texts.groupBy("doc").count().where(F.col("count") > 1).select("doc", F.lit(True).alias("_several")), "ids-of-several-rows")
+    told = texts.join(several, "doc", "left").withColumn("fp", F.when(F.col("_several"), F.xxhash64("text")).otherwise(0)).drop("_several")
     rows = lambda: texts.select("doc", "text").mapInArrow(_emit, "key long, doc long")
     shared = stage(shared_keys(rows()).select("key"), "anchors-shared")
     sweep(spark)
     by_doc = stage(rows().join(shared, "key").groupBy("doc").agg(F.collect_list("key").alias("_keys")), "anchors-of-docs")
     release(shared)
     sweep(spark)
-    sent = texts.select("doc", "fp", "text").join(by_doc, "doc").mapInArrow(_send, "key long, doc long, fp long, start long, bytes binary")
+    sent = told.select("doc", "fp", "text").join(by_doc, "doc").mapInArrow(_send, "key long, doc long, fp long, start long, bytes binary")
     found = sent.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_match, "doc long, fp long, start long, stop long")
     cuts = stage(found, "anchors-cuts")
     release(by_doc)
     sweep(spark)
     by_doc = cuts.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    return texts.join(by_doc, ["doc", "fp"], "left").select("doc_id", "text", "_cuts").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return told.join(by_doc, ["doc", "fp"], "left").select("doc_id", "text", "_cuts").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_lpf(spark, sf_dir: str) -> DataFrame:
