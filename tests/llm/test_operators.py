@@ -335,7 +335,7 @@ def test_join_equals_brute_force(spark, often, monkeypatch):
 
 
 def test_suffixes_equal_brute_force(spark):
-    docs = [((1 << 63) - 1 if d is None else d, (t or "").encode()) for d, t, *_ in rows() if d != 409] + [(600, b"aab" * 40), (601, b"aab" * 60), (602, b"a" * 49)]
+    docs = [((1 << 63) - 1 if d is None else d, (t or "").encode()) for d, t, *_ in rows()] + [(600, b"aab" * 40), (601, b"aab" * 60), (602, b"a" * 49)]
     first: dict[bytes, int] = {}
     for d, t in docs:
         for i in range(len(t) - 49):
