@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from foliolake.llm import decontamination, mixing, ngram_join, quality, sharding
 from foliolake.llm._common import stage, sweep, table
 
+#: Near copies share this percentage of their runs of so many words.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -22,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id stays."""
-    others = ngram_join.linked(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group of linked documents the one of the smallest doc_id stays; links are looser here than in op9_ngram_jaccard."""
+    others = ngram_join.linked(docs, words_each=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(others, F.col("doc_id") == F.col("_id"), "left_anti")
 
 

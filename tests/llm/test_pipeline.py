@@ -35,3 +35,16 @@ def test_stages(spark, tmp_path):
 
 def test_all_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_near_copies_between_the_thresholds_go(spark):
+    import corpus_pipeline as p
+
+    one = [f"w{i}" for i in range(141)]
+    other = [f"x{i}" if i in (35, 70, 105) else w for i, w in enumerate(one)]
+    third = [f"y{i}" if i % 20 == 10 else w for i, w in enumerate(one)]
+    runs = lambda own, k: {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+    share = lambda a, b, k: 100 * len(runs(a, k) & runs(b, k)) / len(runs(a, k) | runs(b, k))
+    assert share(one, other, 5) >= 80 and share(one, other, 4) < 85 and max(share(one, third, 5), share(other, third, 5)) < 80
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(third))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.keep_one_of_near_copies(spark, docs, DATA).collect()) == [1, 3]
