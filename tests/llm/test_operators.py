@@ -227,6 +227,25 @@ def test_leaks_and_paraphrases(spark):
     assert decontamination.leaks(table, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_frequent_items_are_found(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    items = [(k, " ".join(word() for _ in range(37))) for k in range(3)]
+    docs = []
+    for i in range(90):
+        tokens = [word() for _ in range(40)]
+        if i % 3 == 0:
+            at = r.randrange(40)
+            tokens[at:at] = items[1][1].split()
+        docs.append((i, " ".join(tokens)))
+    schema = "doc_id long, text string"
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id, x.lcs_percent) for x in decontamination.leaks(spark.createDataFrame(docs, schema), benchmark).collect()}
+    assert found == {(i, 1, 100) for i in range(0, 90, 3)}
+    small = spark.createDataFrame([(1, "before " + items[0][1] + " after"), (2, "nothing of it")], schema)
+    assert [tuple(x) for x in decontamination.leaks(small, benchmark).collect()] == [(1, 0, 100)]
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
