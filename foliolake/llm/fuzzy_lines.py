@@ -3,9 +3,7 @@
 Lines are compared lower-cased and trimmed; those of fewer than ``MIN_CHARS`` characters
 are left alone. Equal lines collapse first, by two 64-bit hashes. A line's
 signature is ``BANDS * ROWS`` minimums over the hashes of its character shingles of
-``SIGNED`` characters that start at a blank (at any character in lines
-with few of these); such shingles are about one in six, chosen by content, so similar
-lines have similar ones. Lines that agree in a band are candidates; these are
+``SIGNED`` characters, the same rule for every line. Lines that agree in a band are candidates; these are
 verified by the exact Jaccard similarity of their sets of ``SHINGLE``-character shingles,
 at least ``PERCENT``. Union-find over the links gives components; each keeps one line, that of
 the smallest doc_id (in it, the first place), and all its other places are
@@ -34,7 +32,6 @@ PERCENT = 80
 BANDS = 9
 ROWS = 3
 LAST = (1 << 63) - 1
-FEW = 8
 
 
 def _norm(line: F.Column) -> F.Column:
@@ -54,10 +51,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """h, first (the smallest doc), m0.. (minimums) of every distinct line."""
-    chosen = F.regexp_extract_all("line", F.lit(f"(?=( .{{{SIGNED - 1}}}))"), F.lit(1))
     every = F.regexp_extract_all("line", F.lit(f"(?=(.{{{SIGNED}}}))"), F.lit(1))
-    rows = lines.select("doc", "h", "g", chosen.alias("s"), "line").select("doc", "h", "g", F.when(F.size("s") >= FEW, F.col("s")).otherwise(every).alias("s"))
-    hashes = rows.select("doc", "h", "g", F.explode("s").alias("x")).select("doc", "h", "g", F.xxhash64("x").alias("x"))
+    hashes = lines.select("doc", "h", "g", F.explode(every).alias("x")).select("doc", "h", "g", F.xxhash64("x").alias("x"))
     masks = numbers(BANDS * ROWS, 5).view("int64").tolist()
     return hashes.groupBy("h", "g").agg(F.min("doc").alias("first"), *[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
 

@@ -280,6 +280,23 @@ def test_fuzzy_lines_keep_one_each(spark):
     assert fuzzy_lines.remove_fuzzy_lines(table.limit(0)).count() == 0
 
 
+def test_lines_with_a_word_dropped_share_a_band(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    pairs = []
+    while len(pairs) < 100:
+        own = [word() for _ in range(9)]
+        k = r.randrange(1, 9)
+        one, other = " ".join(own), " ".join(own[:k] + own[k + 1 :])
+        if 100 * len(grams(one) & grams(other)) >= 80 * len(grams(one) | grams(other)):
+            pairs.append((one, other))
+    table = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    signed = {x["first"]: x for x in fuzzy_lines.signatures(fuzzy_lines._lines(table)).collect()}
+    bands = lambda d: {(b, *(signed[d][f"m{b * fuzzy_lines.ROWS + k}"] for k in range(fuzzy_lines.ROWS))) for b in range(fuzzy_lines.BANDS)}
+    assert sum(bool(bands(2 * i) & bands(2 * i + 1)) for i in range(100)) >= 95
+
+
 # quality
 
 
