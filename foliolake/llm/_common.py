@@ -19,13 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without the setting a temporary one, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="shared-"))
+    return _own_dir[0]
+
+
+def few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``most`` (narrow) rows; else joins shuffle. Results don't depend on it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +76,9 @@ def sweep(spark: SparkSession) -> None:
     import gc
     import time
 
-    for _ in range(2):  # what Python lets go in one round, the JVM finds in the next
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.4)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def word_count(text: F.Column) -> F.Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import release, stage, sweep
 
+#: Star rounds at most, and the pairs a row of the open groups may stand for before another round is worth it.
+STARS = 4
+PAIRS_A_ROW = 16
+
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """Of ``rows`` (key, doc): keys of two documents or more, with the smallest: key, first.
@@ -25,67 +31,93 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(most):
+        # stars only: every end has one centre, and no centre is an end
+        roles = now.select(F.col("u").alias("node"), F.lit(1).alias("end"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("end"), F.lit(1).alias("centre")))
+        if not roles.groupBy("node").agg(F.sum("end").alias("ends"), F.max("centre").alias("centre")).where("ends > 1 or (ends > 0 and centre > 0)").limit(1).count():
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         then = stage(small, "links")
-        # stars only: no node is both an end and a centre, and no end has two centres
-        loose = then.join(then.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() or then.groupBy("u").count().where("count > 1").limit(1).count()
         release(now)
         now = then
-        if not loose:
-            break
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link(groups: DataFrame, verify, near=None, least: int = 1) -> DataFrame:
-    """Components (node, component) of the documents of ``groups`` (key, doc, n, w) under ``verify``.
+def parity(key: F.Column, width: int) -> list[F.Column]:
+    """Aggregates b0.. of a group's distinct 64-bit ``key``: bit i is the parity of the keys that fall to place i."""
+    place = F.shiftrightunsigned(key, 64 - (64 * width - 1).bit_length())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.bit_xor(F.when(F.shiftright(place, 6) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(width)]
 
-    ``verify`` takes pairs a, b and gives those that are links; ``near`` takes two
-    columns of n and says whether a pair can be one; the weights w of the keys that a
-    pair shares must sum to ``least``. Every document is compared
-    with two centres of each of its groups, the members of least rank in two
-    orders; links found there make components; then those pairs of a group that
-    lie in different components are compared. No pair inside a component that is known
-    already is formed, and no pair that could join two is left out.
+
+def within(percent: int, width: int):
+    """Whether two sets, told by n and maps b0.., can reach ``percent``.
+
+    Each bit of a map is the parity of the elements that fall to it, so the maps of two sets differ in at most as many
+    bits as the sets differ in elements; sets at the threshold differ in at most (n + m) * (100 - percent) / (100 + percent).
+    No pair at the threshold is turned away.
+    """
+
+    def near(x, y):
+        differ = functools.reduce(lambda a, b: a + b, [F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(width)])
+        return (100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"])
+
+    return near
+
+
+def link(groups: DataFrame, verify, maps, percent: int, width: int) -> DataFrame:
+    """Components (node, component) of the documents of ``groups`` (key, doc, n) under ``verify``.
+
+    ``n`` is the size of a document's set; ``verify`` takes pairs a, b and gives those that are links; ``maps`` takes documents
+    (doc) and gives their parity maps (doc, b0..), see :func:`within`. In a round every document is compared with two
+    centres of each of its groups, the members of least rank in two orders, unless both lie in one component already; links
+    found make components. Rounds go on, with other centres, while groups that hold several components stand for many
+    pairs. Then the pairs of a group that still lie in different components are compared, as far as sizes and maps let them
+    be links. No pair inside a known component is formed, no pair that could join two is left out.
     """
     spark = groups.sparkSession
-    near = near or (lambda n, m: F.lit(True))
-    rank = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "doc").alias("r"), "doc", "n"))
-    own = lambda c: F.struct(F.col(f"{c}.doc"), F.col(f"{c}.n")).alias(c)
-    centre = groups.groupBy("key").agg(rank(1).alias("c1"), rank(2).alias("c2")).select("key", own("c1"), own("c2"))
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    star = (
-        groups.join(centre, "key")
-        .select("doc", "n", "w", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
-        .where((F.col("doc") != F.col("c.doc")) & near(F.col("n"), F.col("c.n")))
-        .select(*ends("doc", "c.doc"), "w")
-        .groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("a", "b")
-    )
-    star = stage(star, "pairs")
-    sweep(spark)
-    links = stage(verify(star), "links-found")
-    sweep(spark)
-    found = stage(components(links), "components")
-    placed = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_groups = stage(placed.join(open_keys, "key").select("key", "doc", "n", "w", "component"), "groups-open")
-    one, other = (open_groups.select("key", *["w"] * (i == 1), *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "component")]) for i in (1, 2))
-    rest = (
-        one.join(other, "key")
-        .where((F.col("component1") < F.col("component2")) & near(F.col("n1"), F.col("n2")))
-        .select(*ends("doc1", "doc2"), "w")
-        .groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("a", "b")
-        .join(star, ["a", "b"], "left_anti")
-    )
-    rest = stage(rest, "pairs-rest")
+    sizes = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    mapped = within(percent, width)
+    fact = lambda names: F.struct(*names).alias("fact")
+    now, near = groups.select("key", "doc", fact(["n"]), F.col("doc").alias("component")), sizes
+    links = seen = found = None
+    for k in range(STARS):
+        rank = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "doc").alias("r"), "doc", "fact", "component"))
+        centre = now.groupBy("key").agg(rank(2 * k).alias("c1"), rank(2 * k + 1).alias("c2"))
+        star = (
+            now.join(centre, "key")
+            .select("doc", "fact", "component", F.explode(F.array("c1", "c2")).alias("c"))
+            .where((F.col("component") != F.col("c.component")) & near(F.col("fact"), F.col("c.fact")))
+            .select(*ends("doc", "c.doc"))
+            .distinct()
+        )
+        star = stage(star if seen is None else star.join(seen, ["a", "b"], "left_anti"), "pairs")
+        sweep(spark)
+        fresh = stage(verify(star), "links-found")
+        seen = star if seen is None else seen.unionByName(star)
+        links = fresh if links is None else links.unionByName(fresh)
+        if found is None or fresh.limit(1).count():
+            found = stage(components(links), "components")
+        placed = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+        now = stage(placed.join(open_keys, "key").select("key", "doc", "n", "component", "m"), "groups-open")
+        rows, pairs = now.agg(F.count(F.lit(1)), F.sum(F.col("m") - 1)).first()
+        if not rows:
+            return found
+        known = stage(maps(now.select("doc").distinct()), "parity-maps")
+        now, near = now.join(known, "doc").select("key", "doc", fact(["n", *[f"b{i}" for i in range(width)]]), "component"), lambda x, y: sizes(x, y) & mapped(x, y)
+        sweep(spark)
+        if pairs <= PAIRS_A_ROW * rows:
+            break
+    one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "fact", "component")]) for i in (1, 2))
+    rest = one.join(other, "key").where((F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2"))).select(*ends("doc1", "doc2")).distinct()
+    rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "pairs-rest")
     sweep(spark)
     more = stage(verify(rest), "links-more")
-    release(open_groups, star, rest)
-    if more.limit(1).count():
-        found = stage(components(links.unionByName(more)), "components")
-    return found
+    return stage(components(links.unionByName(more)), "components") if more.limit(1).count() else found

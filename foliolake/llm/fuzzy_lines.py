@@ -1,19 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are compared lower-cased and trimmed; those of fewer than ``MIN_CHARS`` characters
-are left alone. Equal lines collapse first, by two 64-bit hashes. A line's
-signature is ``BANDS * ROWS`` minimums over the hashes of its character shingles of
-``SIGNED`` characters, the same rule for every line. Lines that agree in a band are candidates; these are
-verified by the exact Jaccard similarity of their sets of ``SHINGLE``-character shingles,
-at least ``PERCENT``. Union-find over the links gives components; each keeps one line, that of
-the smallest doc_id (in it, the first place), and all its other places are
-removed.
-
-Band groups are reduced by partial minimums and linked through centres, so one
-very common line or a large group of similar ones costs in proportion to its
-size. Nulls: a null text has no lines and stays null; a null doc_id counts as the largest.
-Rows that share a doc_id keep the line each. Empty tables give empty results; other
-columns stay as they are.
+Lines are compared lower-cased and trimmed; blank ones stay. Equal lines, of any length, collapse first, by two 64-bit
+hashes. A line's signature is its ``KEPT`` least hashes (a bottom-k MinHash) over character shingles of up to ``SIGNED``
+characters, those that begin a word, or begin with a character of ``STARTS``: one rule for every line, chosen by content
+alone. A band is a run of ``ROWS`` neighbours in the sorted signature; sets of at most ``TINY`` shingles also have the
+runs of two, so that one odd shingle never hides them. Lines that agree in a band are candidates, verified by the
+exact Jaccard similarity of their sets of ``SHINGLE``-character shingles, at least ``PERCENT``. Union-find over the
+links gives components; each keeps one line, that of the least document, in it the first place, and all its other places go.
+
+Documents are told apart by doc_id and a hash of the text, null ids last; rows that agree in both are one document and
+keep the same lines. Null texts have no lines and stay null. Band groups are reduced by partial minimums and linked through
+centres, so one very common line or a large group of similar ones costs in proportion to its size. Long lines
+are whole: a candidate line takes about 50 bytes a character of a task's memory. Empty tables give
+empty results; other columns stay as they are, n_lines and n_removed of the input are replaced.
 """
 
 from __future__ import annotations
@@ -21,45 +20,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, release, stage, sweep, table
-from ._groups import link, shared_keys
-from ._words import numbers
+from ._common import few, let, release, stage, sweep, table
+from ._groups import link, parity, shared_keys
 
-MIN_CHARS = 20
 SHINGLE = 5
 SIGNED = 8
 PERCENT = 80
-BANDS = 9
+KEPT = 16
 ROWS = 3
+TINY = 9
+#: Besides the first of a word: one in eight ASCII letters and digits, and any character of scripts without blanks.
+STARTS = r"[hpx08฀-໿က-႟ក-៿⺀-퟿]"
+WIDTH = 4
 LAST = (1 << 63) - 1
+_BLANKS = " \t\r\x0b\x0c"
 
 
-def _norm(line: F.Column) -> F.Column:
-    return F.lower(F.trim(line))
+def _id(docs: DataFrame) -> tuple[F.Column, F.Column]:
+    """The document's number and the hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("fp")
 
 
-def _key(line: F.Column) -> F.Column:
-    return F.xxhash64(line)
+def _split(text) -> F.Column:
+    return F.split(F.lower(text), "\n")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, h, g (two hashes), line of every line that takes part, once per document."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    lines = docs.select(doc.alias("doc"), F.explode(F.split("text", "\n")).alias("line")).select("doc", _norm(F.col("line")).alias("line")).where(F.length("line") >= MIN_CHARS)
-    return lines.select("doc", _key(F.col("line")).alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
+def _trimmed(line) -> F.Column:
+    return F.trim(line, F.lit(_BLANKS))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """h, first (the smallest doc), m0.. (minimums) of every distinct line."""
-    every = F.regexp_extract_all("line", F.lit(f"(?=(.{{{SIGNED}}}))"), F.lit(1))
-    hashes = lines.select("doc", "h", "g", F.explode(every).alias("x")).select("doc", "h", "g", F.xxhash64("x").alias("x"))
-    masks = numbers(BANDS * ROWS, 5).view("int64").tolist()
-    return hashes.groupBy("h", "g").agg(F.min("doc").alias("first"), *[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)])
+def signature(line: F.Column) -> F.Column:
+    """The bands of a line."""
+    shingles = F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)(?=\S)|(?={STARTS}))(?=(.{{1,{SIGNED}}}))"), F.lit(1))
+    hashes = F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
 
+    def runs(low, rows):
+        at = F.sequence(F.lit(1), F.size(low) - rows + 1)
+        return F.when(F.size(low) >= rows, F.transform(at, lambda i: F.xxhash64(F.lit(rows), *[F.get(low, i + k - 1) for k in range(rows)]))).otherwise(F.array().cast("array<bigint>"))
 
-def _shingles(line: F.Column) -> F.Column:
-    """The distinct hashes of a line's shingles; in UTF-32 a character has its place at once."""
-    last = F.length(line) - SHINGLE
+    def bands(every):
+        low = F.slice(every, 1, KEPT)
+        tiny = F.when(F.size(every) <= TINY, runs(every, 2)).otherwise(F.array().cast("array<bigint>"))
+        whole = F.when(F.size(every) <= 2, F.array(F.xxhash64(F.lit(1), every))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(let(low, lambda x: runs(x, ROWS)), tiny, whole)
+
+    return let(hashes, bands)
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """doc, fp, pos, h, g (two hashes) and bands of every line that isn't blank."""
+    lines = docs.select(*_id(docs), F.posexplode(_split("text")).alias("pos", "line")).select("doc", "fp", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return lines.select("doc", "fp", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), signature(F.col("line")).alias("bands"))
+
+
+def shingle_hashes(line: F.Column) -> F.Column:
+    """The distinct hashes of a line's shingles, of the whole line where it is shorter; in UTF-32 a character has its place at once."""
+    last = F.greatest(F.length(line) - SHINGLE, F.lit(0))
     hashes = let(F.encode(line, "UTF-32"), lambda text: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(text, 4 * i + 1, F.lit(4 * SHINGLE)))))
     return F.array_distinct(hashes)
 
@@ -69,52 +85,58 @@ def _reach(x: F.Column, y: F.Column) -> F.Column:
     return let(F.size(F.array_intersect(x, y)), lambda c: 100 * c >= PERCENT * (F.size(x) + F.size(y) - c))
 
 
-def fuzzy_links(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines h with first, components of their h)."""
-    spark = lines.sparkSession
-    signed = signatures(lines)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    heads = stage(signed.select("h", "first", bands.alias("bands")), "line-bands")
+def fuzzy_links(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct lines h with their first place, components of their h)."""
+    spark = docs.sparkSession
+    heads = stage(lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("bands").alias("bands")), "line-heads")
     sweep(spark)
     posted = lambda: heads.select(F.col("h").alias("doc"), F.explode("bands").alias("key"))
     keys = stage(shared_keys(posted()).select("key"), "line-keys")
-    groups = stage(posted().join(keys, "key").withColumns({"n": F.lit(0), "w": F.lit(1)}), "line-groups")
-    release(keys)
     sweep(spark)
-    asked = groups.select(F.col("doc").alias("h")).distinct()
-    texts = lines.select("h", "line").join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = stage(texts, "line-texts")
+    posts = stage(posted().join(keys, "key"), "line-posts")
+    sweep(spark)
+    asked = posts.select(F.col("doc").alias("h")).distinct()
+    places = stage(heads.select("h", "first").join(asked, "h").select("h", "first.*"), "line-places")
+    own = docs.select(*_id(docs), "text").join(few(places.select("doc", "fp").distinct()), ["doc", "fp"], "left_semi").distinct()
+    texts = own.select("doc", "fp", F.posexplode(_split("text")).alias("pos", "line")).join(places, ["doc", "fp", "pos"]).select("h", _trimmed(F.col("line")).alias("line"))
+    texts = stage(texts.select("h", "line", F.size(shingle_hashes(F.col("line"))).alias("n")), "line-texts")
+    sweep(spark)
+    groups = stage(posts.join(texts.select(F.col("h").alias("doc"), "n"), "doc"), "line-groups")
     sweep(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        similar = let(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")), lambda s: _reach(s.x, s.y))
+        similar = let(F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y")), lambda s: _reach(s.x, s.y))
         return both.where(similar).select("a", "b")
 
-    return heads.select("h", "first"), link(groups, verify)
+    def maps(some: DataFrame) -> DataFrame:
+        hashes = texts.join(some.select(F.col("doc").alias("h")), "h").select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s"))
+        return hashes.select("doc", F.explode("s").alias("x")).groupBy("doc").agg(*parity(F.col("x"), WIDTH))
+
+    return heads.select("h", "first"), link(groups, verify, maps, PERCENT, WIDTH)
 
 
 def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with texts that lack repeated lines, and n_lines, n_removed."""
     spark = docs.sparkSession
-    heads, found = fuzzy_links(_lines(docs))
+    lines = stage(signed_lines(docs.select("doc_id", "text")), "lines-signed")
+    heads, found = fuzzy_links(docs.select("doc_id", "text"), lines)
     placed = heads.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    best = placed.groupBy("component").agg(F.min(F.struct("first", "h")).alias("best"))
-    keep = stage(placed.join(best, "component").select("h", F.when(F.col("best.h") == F.col("h"), F.col("first")).alias("keeper")), "line-keepers")
+    best = stage(placed.groupBy("component").agg(F.min(F.struct("first", "h")).alias("best")).select("component", F.col("best.first").alias("keeper")), "line-keepers")
+    keep = placed.join(best, "component").select("h", "keeper")
+    gone = lines.select("doc", "fp", "pos", "h").join(keep, "h").where("not (struct(doc, fp, pos) <=> keeper)")
+    gone = stage(gone.groupBy("doc", "fp").agg(F.collect_set("pos").alias("_gone")), "lines-gone")
+    release(lines)
     sweep(spark)
-    gone = _lines(docs).select("doc", "h").join(keep, "h").where("keeper is null or keeper <> doc").groupBy("doc").agg(F.collect_set("h").alias("_gone"))
-    gone = stage(gone, "lines-gone")
-    sweep(spark)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    whole = docs.withColumn("_doc", doc).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    whole = whole.withColumn("_lines", F.split("text", "\n")).withColumn("_keys", F.transform("_lines", lambda x: F.when(F.length(_norm(x)) >= MIN_CHARS, _key(_norm(x)))))
-    stays = F.filter(
-        "_lines",
-        lambda _, i: F.element_at("_keys", i + 1).isNull() | ~(F.coalesce(F.array_contains("_gone", F.element_at("_keys", i + 1)), F.lit(False)) | (F.array_position("_keys", F.element_at("_keys", i + 1)) <= i)),
-    )
-    whole = whole.withColumn("_stays", stays)
+    doc, fp = _id(docs)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), doc.alias("_doc"), fp.alias("_fp"))
+    whole = whole.join(gone.withColumnsRenamed({"doc": "_doc", "fp": "_fp"}), ["_doc", "_fp"], "left")
+    every = F.split(F.col("_row.text"), "\n")
+    stays = let(F.coalesce("_gone", F.array().cast("array<int>")), lambda out: F.when(F.size(out) == 0, every).otherwise(F.filter(every, lambda _, i: ~F.array_contains(out, i))))
+    whole = whole.select("_row", every.alias("_lines"), stays.alias("_stays"))
     return whole.select(
-        *[(F.array_join("_stays", "\n").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
+        *[(F.array_join("_stays", "\n").alias("text") if c == "text" else F.col(f"_row.`{c}`")) for c in names],
         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_lines") - F.size("_stays"), F.lit(0)).cast("long").alias("n_removed"),
     )

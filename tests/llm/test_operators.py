@@ -260,6 +260,25 @@ def test_common_subsequence():
 # fuzzy lines
 
 
+def brute_fuzzy(docs):
+    """Per distinct line its component under the exact rule: (lines by first place, union of links)."""
+    norm = lambda t: t.lower().strip(" \t\r\v\f")
+    grams = lambda t: frozenset(t[i : i + 5] for i in range(max(1, len(t) - 4)))
+    first = {}
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
+        for line in (t or "").split("\n"):
+            if norm(line):
+                first.setdefault(norm(line), d)
+    by_gram, sets = defaultdict(set), {t: grams(t) for t in first}
+    links = set()
+    for t, s in sets.items():
+        counted = Counter(o for g in s for o in by_gram[g])
+        links |= {(t, o) for o, c in counted.items() if 100 * c >= 80 * (len(s) + len(sets[o]) - c)}
+        for g in s:
+            by_gram[g].add(t)
+    return first, links
+
+
 def test_fuzzy_lines_keep_one_each(spark):
     r = random.Random(3)
     base = ["".join(r.choice("abcdefgh    ") for _ in range(90)) for _ in range(12)]
@@ -267,34 +286,44 @@ def test_fuzzy_lines_keep_one_each(spark):
     for i in range(60):
         own = [base[(i + k) % 12] for k in range(3)]
         own = [t[: 10 + k] + "z" + t[11 + k :] if (i + k) % 3 else t for k, t in enumerate(own)]
-        docs.append((i, "\n".join([*own, "short", ""]), 1))
-    docs += [(None, base[0], 1), (100, None, 1), (101, "", 1), (102, base[0] + "\n" + base[0], 1)]
-    table = spark.createDataFrame(docs, "doc_id long, text string, line int")
-    found = fuzzy_lines.remove_fuzzy_lines(table).collect()
-    left = [t.strip().lower() for x in found for t in (x.text or "").split("\n") if len(t.strip()) >= fuzzy_lines.MIN_CHARS]
+        docs.append((i, "\n".join([*own, "short", "", "  "]), 1, 5))
+    docs += [(None, base[0], 1, 5), (None, base[1] + "\n" + base[0], 1, 5), (100, None, 1, 5), (101, "", 1, 5), (102, base[0] + "\n" + base[0], 1, 5), (103, "only here", 1, 5), (103, "only here", 1, 5), (104, "w" * 30_000, 1, 5)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, line int, n_lines int")
+    out = fuzzy_lines.remove_fuzzy_lines(table)
+    assert out.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
+    found = out.collect()
+    left = [t.strip().lower() for x in found for t in (x.text or "").split("\n") if t.strip()]
     grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
-    similar = lambda a, b: 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b))
-    assert len(left) == 12 and not any(similar(a, b) for i, a in enumerate(left) for b in left[:i])
-    assert sum((x.text or "").split("\n").count("short") for x in found) == 60
+    similar = lambda a, b: a != b and 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b))
+    assert Counter(left) == Counter({t: 1 + (t == "only here") for t in left}) and len(set(left)) == 15
+    assert not any(similar(a, b) for i, a in enumerate(left) for b in left[:i])
     assert next(x for x in found if x.doc_id == 100).text is None and len(found) == len(docs)
+    assert next(x for x in found if x.doc_id == 5).n_lines == 6 and sum((x.text or "").split("\n").count("") for x in found) >= 60
     assert fuzzy_lines.remove_fuzzy_lines(table.limit(0)).count() == 0
 
 
-def test_lines_with_a_word_dropped_share_a_band(spark):
+def test_links_of_lines_against_brute_force(spark):
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    first, links = brute_fuzzy([tuple(x) for x in docs.collect()])
     r = random.Random(15)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
-    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
-    pairs = []
-    while len(pairs) < 100:
-        own = [word() for _ in range(9)]
-        k = r.randrange(1, 9)
-        one, other = " ".join(own), " ".join(own[:k] + own[k + 1 :])
-        if 100 * len(grams(one) & grams(other)) >= 80 * len(grams(one) | grams(other)):
-            pairs.append((one, other))
-    table = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
-    signed = {x["first"]: x for x in fuzzy_lines.signatures(fuzzy_lines._lines(table)).collect()}
-    bands = lambda d: {(b, *(signed[d][f"m{b * fuzzy_lines.ROWS + k}"] for k in range(fuzzy_lines.ROWS))) for b in range(fuzzy_lines.BANDS)}
-    assert sum(bool(bands(2 * i) & bands(2 * i + 1)) for i in range(100)) >= 95
+    short = []
+    for _ in range(400):  # lines of a few words with one dropped, where bands are few
+        own = [word() for _ in range(r.randint(5, 12))]
+        k = r.randrange(len(own))
+        short += [" ".join(own), " ".join(own[:k] + own[k + 1 :])]
+    more, near = brute_fuzzy([(10**6 + i, t) for i, t in enumerate(short)])
+    table = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(short)], "doc_id long, text string"))
+    lines = fuzzy_lines.signed_lines(table)
+    names = {x.line: x.h for x in spark.createDataFrame([(t,) for t in [*first, *more]], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
+    _, parts = fuzzy_lines.fuzzy_links(table, lines)
+    place = {x.node: x.component for x in parts.collect()}
+    for every in (links, near):
+        caught = sum(place.get(names[a], 0) == place.get(names[b], 1) for a, b in every)
+        assert len(every) > 100 and caught >= 0.95 * len(every), (caught, len(every))
+    apart = union([(names[a], names[b]) for a, b in links | near])
+    assert all(apart.get(n) is not None for n in place) and len({(c, apart[n]) for n, c in place.items()}) == len(set(place.values()))
 
 
 # quality
