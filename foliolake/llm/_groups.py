@@ -74,7 +74,7 @@ def link(groups: DataFrame, verify, maps, percent: int, width: int) -> DataFrame
     """Components (node, component) of the documents of ``groups`` (key, doc, n) under ``verify``.
 
     ``n`` is the size of a document's set; ``verify`` takes pairs a, b and gives those that are links; ``maps`` takes documents
-    (doc) and gives their parity maps (doc, b0..), see :func:`within`. In a round every document is compared with two
+    (doc, n) and gives their parity maps (doc, n, b0..), see :func:`within`. In a round every document is compared with two
     centres of each of its groups, the members of least rank in two orders, unless both lie in one component already; links
     found make components. Rounds go on, with other centres, while groups that hold several components stand for many
     pairs. Then the pairs of a group that still lie in different components are compared, as far as sizes and maps let them
@@ -110,8 +110,8 @@ def link(groups: DataFrame, verify, maps, percent: int, width: int) -> DataFrame
         rows, pairs = now.agg(F.count(F.lit(1)), F.sum(F.col("m") - 1)).first()
         if not rows:
             return found
-        known = stage(maps(now.select("doc").distinct()), "parity-maps")
-        now, near = now.join(known, "doc").select("key", "doc", fact(["n", *[f"b{i}" for i in range(width)]]), "component"), lambda x, y: sizes(x, y) & mapped(x, y)
+        known = stage(maps(now.select("doc", "n").distinct()), "parity-maps")
+        now, near = now.join(known, ["doc", "n"]).select("key", "doc", fact(["n", *[f"b{i}" for i in range(width)]]), "component"), lambda x, y: sizes(x, y) & mapped(x, y)
         sweep(spark)
         if pairs <= PAIRS_A_ROW * rows:
             break

@@ -2,8 +2,8 @@
 
 Lines are compared lower-cased and trimmed; blank ones stay. Equal lines, of any length, collapse first, by two 64-bit
 hashes. A line's signature is its ``KEPT`` least hashes (a bottom-k MinHash) over character shingles of up to ``SIGNED``
-characters, those that begin a word, or begin with a character of ``STARTS``: one rule for every line, chosen by content
-alone. A band is a run of ``ROWS`` neighbours in the sorted signature; sets of at most ``TINY`` shingles also have the
+characters, those that follow no ASCII letter, digit or underscore (so words begin some, and every character of other
+scripts one): one rule for every line, chosen by content alone. A band is a run of ``ROWS`` neighbours in the sorted signature; sets of at most ``TINY`` shingles also have the
 runs of two, so that one odd shingle never hides them. Lines that agree in a band are candidates, verified by the
 exact Jaccard similarity of their sets of ``SHINGLE``-character shingles, at least ``PERCENT``. Union-find over the
 links gives components; each keeps one line, that of the least document, in it the first place, and all its other places go.
@@ -26,11 +26,9 @@ from ._groups import link, parity, shared_keys
 SHINGLE = 5
 SIGNED = 8
 PERCENT = 80
-KEPT = 16
+KEPT = 12
 ROWS = 3
 TINY = 9
-#: Besides the first of a word: one in eight ASCII letters and digits, and any character of scripts without blanks.
-STARTS = r"[hpx08฀-໿က-႟ក-៿⺀-퟿]"
 WIDTH = 4
 LAST = (1 << 63) - 1
 _BLANKS = " \t\r\x0b\x0c"
@@ -51,7 +49,7 @@ def _trimmed(line) -> F.Column:
 
 def signature(line: F.Column) -> F.Column:
     """The bands of a line."""
-    shingles = F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)(?=\S)|(?={STARTS}))(?=(.{{1,{SIGNED}}}))"), F.lit(1))
+    shingles = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\w)(?=(\S.{{0,{SIGNED - 1}}}))"), F.lit(1))
     hashes = F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
 
     def runs(low, rows):
@@ -85,23 +83,28 @@ def _reach(x: F.Column, y: F.Column) -> F.Column:
     return let(F.size(F.array_intersect(x, y)), lambda c: 100 * c >= PERCENT * (F.size(x) + F.size(y) - c))
 
 
-def fuzzy_links(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines h with their first place, components of their h)."""
+def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, fp, pos, h of every line; distinct lines h with their first place; components of their h)."""
     spark = docs.sparkSession
+    lines = stage(signed_lines(docs), "lines-signed")
     heads = stage(lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("bands").alias("bands")), "line-heads")
+    places = stage(lines.select("doc", "fp", "pos", "h"), "line-places")
+    release(lines)
     sweep(spark)
     posted = lambda: heads.select(F.col("h").alias("doc"), F.explode("bands").alias("key"))
-    keys = stage(shared_keys(posted()).select("key"), "line-keys")
+    keys = stage(posted().groupBy("key").count().where("count > 1").select("key"), "line-keys")
     sweep(spark)
     posts = stage(posted().join(keys, "key"), "line-posts")
     sweep(spark)
-    asked = posts.select(F.col("doc").alias("h")).distinct()
-    places = stage(heads.select("h", "first").join(asked, "h").select("h", "first.*"), "line-places")
-    own = docs.select(*_id(docs), "text").join(few(places.select("doc", "fp").distinct()), ["doc", "fp"], "left_semi").distinct()
-    texts = own.select("doc", "fp", F.posexplode(_split("text")).alias("pos", "line")).join(places, ["doc", "fp", "pos"]).select("h", _trimmed(F.col("line")).alias("line"))
+    asked = heads.select("h", "first").join(posts.select(F.col("doc").alias("h")).distinct(), "h").select("h", "first.*")
+    asked = stage(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "h")).alias("own")), "lines-asked")
+    own = docs.select(*_id(docs), "text").join(few(asked, 1 << 18), ["doc", "fp"])
+    line = lambda every: F.transform("own", lambda p: F.struct(p.h.alias("h"), _trimmed(F.get(every, p.pos)).alias("line")))
+    texts = own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line"))
     texts = stage(texts.select("h", "line", F.size(shingle_hashes(F.col("line"))).alias("n")), "line-texts")
     sweep(spark)
     groups = stage(posts.join(texts.select(F.col("h").alias("doc"), "n"), "doc"), "line-groups")
+    release(posts, keys, asked)
     sweep(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -110,23 +113,21 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame
         return both.where(similar).select("a", "b")
 
     def maps(some: DataFrame) -> DataFrame:
-        hashes = texts.join(some.select(F.col("doc").alias("h")), "h").select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s"))
-        return hashes.select("doc", F.explode("s").alias("x")).groupBy("doc").agg(*parity(F.col("x"), WIDTH))
+        hashes = texts.join(some.select(F.col("doc").alias("h")), "h").select(F.col("h").alias("doc"), "n", shingle_hashes(F.col("line")).alias("s"))
+        return hashes.select("doc", "n", F.explode("s").alias("x")).groupBy("doc", "n").agg(*parity(F.col("x"), WIDTH))
 
-    return heads.select("h", "first"), link(groups, verify, maps, PERCENT, WIDTH)
+    return places, heads.select("h", "first"), link(groups, verify, maps, PERCENT, WIDTH)
 
 
 def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with texts that lack repeated lines, and n_lines, n_removed."""
     spark = docs.sparkSession
-    lines = stage(signed_lines(docs.select("doc_id", "text")), "lines-signed")
-    heads, found = fuzzy_links(docs.select("doc_id", "text"), lines)
+    lines, heads, found = fuzzy_links(docs.select("doc_id", "text"))
     placed = heads.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = stage(placed.groupBy("component").agg(F.min(F.struct("first", "h")).alias("best")).select("component", F.col("best.first").alias("keeper")), "line-keepers")
     keep = placed.join(best, "component").select("h", "keeper")
-    gone = lines.select("doc", "fp", "pos", "h").join(keep, "h").where("not (struct(doc, fp, pos) <=> keeper)")
+    gone = lines.join(keep, "h").where("not (struct(doc, fp, pos) <=> keeper)")
     gone = stage(gone.groupBy("doc", "fp").agg(F.collect_set("pos").alias("_gone")), "lines-gone")
-    release(lines)
     sweep(spark)
     doc, fp = _id(docs)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

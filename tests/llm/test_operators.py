@@ -315,9 +315,8 @@ def test_links_of_lines_against_brute_force(spark):
         short += [" ".join(own), " ".join(own[:k] + own[k + 1 :])]
     more, near = brute_fuzzy([(10**6 + i, t) for i, t in enumerate(short)])
     table = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(short)], "doc_id long, text string"))
-    lines = fuzzy_lines.signed_lines(table)
     names = {x.line: x.h for x in spark.createDataFrame([(t,) for t in [*first, *more]], "line string").select("line", F.xxhash64("line").alias("h")).collect()}
-    _, parts = fuzzy_lines.fuzzy_links(table, lines)
+    *_, parts = fuzzy_lines.fuzzy_links(table)
     place = {x.node: x.component for x in parts.collect()}
     for every in (links, near):
         caught = sum(place.get(names[a], 0) == place.get(names[b], 1) for a, b in every)
