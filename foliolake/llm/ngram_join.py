@@ -1,28 +1,23 @@
 """Jaccard join of word-shingle sets by token-combination prefixes.
 
-A document's tokens are the hashes of its distinct shingles. Tokens are ordered
-rare class first, then frequent class, by hash inside a class. Two sets that
-reach the threshold share the ``K`` = 4 first of their common tokens inside their
-prefixes of ``n - ceil(t * n) + K`` tokens. Rare tokens are indexed alone, frequent ones
-in pairs: the two sets share three rare tokens there, or else two frequent ones
-and so a pair. A pair of documents is a candidate if it shares three single tokens or
-one pair. Sets of more than ``LONG`` tokens would
-have too many pairs and index frequent tokens alone; sets near that size have
-both kinds, so that no link across it is lost.
-
-Classes come from counters of fixed number over all tokens of all documents
-(the frequent ones are a bit set of ``2**COUNTER_BITS`` bits, whatever the input).
-Equal sets collapse first, by two 64-bit sums over their tokens. Candidates: in each signature's group every document
-is compared with a centre, the member of least priority, under two
-priorities; links found there make components; then only pairs of documents
-of different components that share a signature are compared. So a group of
-near copies costs comparisons in proportion to its size, and pairs that can
-add nothing to the components are never formed. Every candidate is verified on
-whole sets.
-
-Nulls: a null or blank text has an empty set and links with nothing; a row with
-a null doc_id links with nothing and has no component. Rows that share a
-doc_id are one node. Empty tables give empty results.
+A document's tokens are the hashes of its distinct shingles, in one order for all documents: the rare class first, then the
+frequent class, by hash inside a class. With ``n`` tokens and the threshold ``t`` a link shares at least ``ceil(t * n)`` of
+them, so the first ``n - ceil(t * n) + k`` tokens, the extended prefix, hold the ``k`` first common ones; ``k`` is an eighth of
+the least size of a partner. Rare tokens of the prefix are indexed alone. Frequent ones are indexed as combinations of two
+neighbours, over a prefix of ``2 * d + 2`` tokens and half of ``k``, where ``d = floor((1 - t) / t * n)`` bounds the tokens that
+only one of the two sets has: if fewer than half of the first common tokens are rare, all later common ones are
+frequent, at most ``d`` odd tokens leave ``d + 1`` gaps, and so two common ones stand side by side in both sets. A document that
+shares with others neither half of ``k`` rare tokens nor one combination links with nobody and leaves; what stays is a candidate
+wherever it shares an entry.
+
+Classes come from counters of fixed number over all tokens of all documents (the frequent ones are a bit set of
+``2**COUNTER_BITS`` bits, whatever the input). Equal sets collapse first, by two 64-bit sums over their tokens. Groups of an entry
+are linked through centres, and what is left is bounded by sizes and parity maps (see :mod:`._groups`), so a group of
+near copies costs comparisons in proportion to its size. Every candidate is verified on whole sets.
+
+Nulls: a null or blank text has an empty set and links with nothing; a row with a null doc_id links with nothing and has no
+component. Rows that share a doc_id are one node. Repeated rows give repeated rows. A very long text is one set, 8 bytes a
+word in a task. Empty tables give empty results; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,22 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, small_batches, stage, sweep, table
+from ._common import few, release, small_batches, stage, sweep, table
 from ._groups import link, shared_keys
 from ._words import chained, mixed, slices, word_hashes, words
 
 WORDS = 4
 PERCENT = 85
-K = 4
-#: Shared single tokens that make a candidate; a shared pair of frequent ones counts as many.
-SINGLES = 3
-#: Groups of so many members are crowds, see :func:`bounded_groups`.
-CROWD = 6
-LONG = 256
+#: The extension of a prefix: the least size of a partner over this.
+EXTENDED = 8
 COUNTER_BITS = 22
 PAGE = 14
 #: A token is frequent if its counter has this many times the mean count, and this many more.
 TIMES, MORE = 4, 32
+#: Longs of a parity map.
+WIDTH = 16
 
 
 def token_sets(data: np.ndarray, bounds: np.ndarray, k: int):
@@ -91,42 +84,51 @@ def _sum_pages(page: int):
             for p, blob in zip(pdf["page"], pdf["counts"]):
                 part = np.frombuffer(zlib.decompress(blob), np.int64)
                 out[p] = out[p] + part if p in out else part
-        yield pd.DataFrame({"page": list(out), "counts": [zlib.compress(x.tobytes(), 1) for x in out.values()]})
+        yield pd.DataFrame({"page": list(out), "total": [int(x.sum()) for x in out.values()], "counts": [zlib.compress(x.tobytes(), 1) for x in out.values()]})
 
     return run
 
 
 def frequent_class(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.ndarray:
-    """A bit per counter: whether its tokens are frequent. Pages of counters are summed by tasks; the driver gets the sums, of fixed size."""
+    """A bit per counter: whether its tokens are frequent. Pages of counters are summed by tasks; the driver gets a page at a time, of fixed size and number."""
     pages = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count(k, bits, PAGE), "page int, counts binary")
-    pages = pages.repartition("page").mapInPandas(_sum_pages(PAGE), "page int, counts binary")
-    total = np.zeros(1 << bits, np.int64)
-    for row in pages.toLocalIterator():
-        total[row.page << PAGE : (row.page + 1) << PAGE] = np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return np.packbits(total >= TIMES * total.mean() + MORE)
+    pages = stage(pages.repartition("page").mapInPandas(_sum_pages(PAGE), "page int, total long, counts binary"), "join-counters")
+    mean = (pages.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
+    often = np.zeros(1 << bits, bool)
+    for row in pages.select("page", "counts").toLocalIterator():
+        often[row.page << PAGE : (row.page + 1) << PAGE] = np.frombuffer(zlib.decompress(row.counts), np.int64) >= TIMES * mean + MORE
+    if TIMES * mean + MORE <= 0:
+        often[:] = True
+    release(pages)
+    return np.packbits(often)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, k: int = K, long: int = LONG) -> np.ndarray:
-    """The signatures of one set: even for single tokens, odd for pairs."""
+def extension(n, percent: int):
+    """The common tokens that the extended prefix of a set of ``n`` is sure to share with any partner."""
+    return np.maximum(1, percent * n // 100 // EXTENDED)
+
+
+def entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The index entries of one set: even for rare tokens, odd for two frequent neighbours."""
     n = len(tokens)
-    need = -(-percent * n // 100)
-    if need < k:
-        # small sets: a link shares at least `need` of all tokens; one of each is enough for a candidate
-        return tokens | np.uint64(1)
+    k = int(extension(n, percent))
+    short = min(n, n - -(-percent * n // 100) + max(1, n // EXTENDED))
     often = frequent[_counter(tokens, COUNTER_BITS)]
     rare, rest = tokens[~often], tokens[often]
-    prefix = n - need + k
-    rest = rest[: max(0, prefix - len(rare))]
-    out = [rare[:prefix]]
-    if 100 * n > percent * long:
-        out.append(rest)
-    out = [x & ~np.uint64(1) for x in out]
-    if percent * n <= 100 * long and len(rest) > 1:
-        a, b = np.triu_indices(len(rest), 1)
-        out.append(mixed(rest[a] * np.uint64(0x9E3779B97F4A7C15) + mixed(rest[b])) | np.uint64(1))
+    out = [rare[:short] & ~np.uint64(1)]
+    if len(rare) < short:
+        near = rest[: max(0, 2 * ((100 - percent) * n // percent) + 2 + (k + 1) // 2 - len(rare))]
+        # a set of one token has no neighbours
+        out.append(mixed(near[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(near[1:])) | np.uint64(1) if n > 1 else near | np.uint64(1))
     return np.unique(np.concatenate(out))
 
 
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """``WIDTH`` longs whose bits are the parities of the tokens that fall to them."""
+    bits = np.bincount((tokens & np.uint64(64 * WIDTH - 1)).astype(np.int64), minlength=64 * WIDTH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(k: int, percent: int, packed):
     def run(batches):
         frequent = np.unpackbits(packed.value).astype(bool)
@@ -136,9 +138,11 @@ def _sets(k: int, percent: int, packed):
                 rows = []
                 for tokens in token_sets(data, bounds, k):
                     spread = mixed(tokens + np.uint64(0x5851F42D4C957F2D))
-                    rows.append((len(tokens), int(tokens.sum().view(np.int64)) if len(tokens) else 0, int(spread.sum().view(np.int64)) if len(tokens) else 0, signatures(tokens, frequent, percent).view(np.int64)))
-                n, s1, s2, sigs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "n", "s1", "s2", "sigs"])
+                    sums = [int(x.sum().view(np.int64)) if len(tokens) else 0 for x in (tokens, spread)]
+                    rows.append((len(tokens), *sums, entries(tokens, frequent, percent).view(np.int64), parity_map(tokens).tobytes()))
+                n, s1, s2, own, maps = zip(*rows)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), *[pa.array(x, t) for x, t in zip((n, s1, s2, own, maps), kinds)]], ["doc", "n", "s1", "s2", "entries", "map"])
 
     return run
 
@@ -164,53 +168,11 @@ def _verify(percent: int):
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            found = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield found
-
-    return run
-
-
-def _explode_tokens(k: int):
-    def run(batches):
-        for batch in batches:
-            docs = batch.column("doc").to_numpy()
-            for i, _, data, bounds in slices(batch.column("text")):
-                found = list(token_sets(data, bounds, k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(docs[i : i + len(found)], [len(t) for t in found]))], ["token", "doc"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def bounded_groups(groups: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """``groups`` with n as a struct of size and most (the tokens that a partner can share).
-
-    In groups of ``CROWD`` members or more, tokens that no other member of such groups has can't be shared there. Members that
-    could reach the threshold with nobody leave those groups, and pairs are measured by what they can share at most.
-    """
-    crowds = stage(groups.groupBy("key").count().where(F.col("count") >= CROWD).select("key"), "join-crowds")
-    inside = stage(groups.join(crowds, "key"), "join-crowded")
-    tokens = texts.join(inside.select("doc").distinct(), "doc", "left_semi").mapInArrow(_explode_tokens(words_each), "token long, doc long")
-    # a document's rows of one doc_id are one member
-    alone = tokens.groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
-    sized = lambda most: F.struct(F.col("n").alias("size"), most.alias("most")).alias("n")
-    kept = inside.join(stage(alone, "join-alone"), "doc", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
-    rest = groups.join(crowds, "key", "left_anti")
-    return kept.select("key", "doc", sized(F.col("most")), "w").unionByName(rest.select("key", "doc", sized(F.col("n")), "w"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """The pairs a, b whose whole sets reach the threshold. ``texts``: doc, text."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stage(texts.join(asked, "doc", "left_semi").mapInArrow(_whole_sets(words_each), "doc long, tokens binary"), "join-tokens")
-    sweep(pairs.sparkSession)
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    found = stage(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "join-links")
-    release(sets)
-    sweep(pairs.sparkSession)
-    return found
-
-
 def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
@@ -218,26 +180,44 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
     packed = spark.sparkContext.broadcast(frequent_class(texts, words_each))
     sweep(spark)
-    every = stage(texts.mapInArrow(_sets(words_each, percent, packed), "doc long, n long, s1 long, s2 long, sigs array<long>"), "join-sets")
-    full = every.where("n > 0 and doc is not null")
+    every = stage(texts.mapInArrow(_sets(words_each, percent, packed), "doc long, n long, s1 long, s2 long, entries array<long>, map binary"), "join-sets")
+    narrow = stage(every.select("doc", "n", "s1", "s2"), "join-sizes")
+    full = narrow.where("n > 0 and doc is not null")
     heads = stage(full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("head")), "join-heads")
     owner = heads.select("n", "s1", "s2", F.col("head").alias("doc"))
-    postings = lambda: full.join(owner, ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", F.explode("sigs").alias("key"))
-    keys = stage(shared_keys(postings()).select("key"), "join-keys")
+    # rows that share doc_id and set are one; those that share the doc_id alone are one node of several sets
+    owned = stage(every.join(owner, ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", "entries", "map"), "join-owned")
+    release(every)
+    sweep(spark)
+    index = lambda: owned.select("doc", "n", F.explode("entries").alias("key"))
+    keys = stage(shared_keys(index().drop("n")).select("key"), "join-keys")
     sweep(spark)
-    groups = stage(postings().join(keys, "key").withColumn("w", F.when(F.col("key") % 2 == 0, 1).otherwise(SINGLES)), "join-groups")
-    release(keys)
+    shared = stage(index().join(keys, "key").select("key", "doc", "n"), "join-shared")
     sweep(spark)
-    groups = stage(bounded_groups(groups, texts, words_each, percent), "join-bounded")
+    combined = F.col("key") % 2 != 0
+    able = shared.groupBy("doc", "n").agg(F.count_if(combined).alias("pairs"), F.count_if(~combined).alias("rare"))
+    least = F.greatest(F.lit(1), F.expr(f"(n * {percent}) div 100 div {EXTENDED}"))
+    able = stage(able.where((F.col("pairs") > 0) | (2 * F.col("rare") >= least)).select("doc", "n"), "join-able")
+    groups = stage(shared.join(able, ["doc", "n"]).select("key", "doc", "n").distinct(), "join-groups")
+    release(shared, keys)
     sweep(spark)
+    asked = few(able.select("doc").distinct())
+    sets = stage(texts.join(asked, "doc", "left_semi").mapInArrow(_whole_sets(words_each), "doc long, tokens binary"), "join-tokens")
+    sweep(spark)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct()
 
-    def near(x, y):
-        common = F.least(x["most"], y["most"])
-        return 100 * common >= percent * (x["size"] + y["size"] - common)
+    def maps(some: DataFrame) -> DataFrame:
+        part = lambda k: F.conv(F.hex(F.substring("map", 8 * k + 1, F.lit(8))), 16, -10).cast("long").alias(f"b{k}")
+        return owned.select("doc", "n", "map").join(some, ["doc", "n"], "left_semi").select("doc", "n", *[part(k) for k in range(WIDTH)])
 
-    found = link(groups, lambda pairs: verified(pairs, texts, words_each, percent), near, SINGLES)
-    named = full.select("doc", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
-    alone = every.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
+    found = link(groups, verify, maps, percent, WIDTH)
+    release(owned, sets, groups)
+    named = full.join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
+    # a doc_id of several sets reaches what each of them reaches
+    alone = narrow.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     out = named.select("doc", "n", F.coalesce("component", "head").alias("component_id")).unionByName(alone)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
