@@ -11,7 +11,7 @@ from ._common import release, stage, sweep
 
 #: Star rounds at most, and the pairs a row of the open groups may stand for before another round is worth it.
 STARS = 4
-PAIRS_A_ROW = 16
+PAIRS_A_ROW = 1000
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -48,15 +48,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def parity(key: F.Column, width: int) -> list[F.Column]:
-    """Aggregates b0.. of a group's distinct 64-bit ``key``: bit i is the parity of the keys that fall to place i."""
-    place = F.shiftrightunsigned(key, 64 - (64 * width - 1).bit_length())
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    return [F.bit_xor(F.when(F.shiftright(place, 6) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(width)]
-
-
 def within(percent: int, width: int):
-    """Whether two sets, told by n and maps b0.., can reach ``percent``.
+    """Whether two sets, told by n and maps b0.., can reach ``percent``: for :func:`link`.
 
     Each bit of a map is the parity of the elements that fall to it, so the maps of two sets differ in at most as many
     bits as the sets differ in elements; sets at the threshold differ in at most (n + m) * (100 - percent) / (100 + percent).
@@ -70,22 +63,20 @@ def within(percent: int, width: int):
     return near
 
 
-def link(groups: DataFrame, verify, maps, percent: int, width: int) -> DataFrame:
-    """Components (node, component) of the documents of ``groups`` (key, doc, n) under ``verify``.
+def link(groups: DataFrame, verify, near, maps=None, then=None) -> DataFrame:
+    """Components (node, component) of the documents of ``groups`` (key, doc, fact) under ``verify``.
 
-    ``n`` is the size of a document's set; ``verify`` takes pairs a, b and gives those that are links; ``maps`` takes documents
-    (doc, n) and gives their parity maps (doc, n, b0..), see :func:`within`. In a round every document is compared with two
-    centres of each of its groups, the members of least rank in two orders, unless both lie in one component already; links
-    found make components. Rounds go on, with other centres, while groups that hold several components stand for many
-    pairs. Then the pairs of a group that still lie in different components are compared, as far as sizes and maps let them
-    be links. No pair inside a known component is formed, no pair that could join two is left out.
+    ``verify`` takes pairs a, b and gives those that are links; ``near`` takes two facts and says whether a pair can be one.
+    Facts that are too wide for all groups come later: ``maps`` takes documents (doc, fact) and gives their wide ones (doc,
+    fact, wide), which ``then`` compares. In a round every document is compared with two centres of each of its groups, the
+    members of least rank in two orders, unless both lie in one component already; links found make components. Rounds
+    go on, with other centres, while groups that hold several components stand for very many pairs. Then the pairs of a group
+    that still lie in different components are compared, as far as their facts let them be links. No pair inside a known
+    component is formed, no pair that could join two is left out.
     """
     spark = groups.sparkSession
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    sizes = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    mapped = within(percent, width)
-    fact = lambda names: F.struct(*names).alias("fact")
-    now, near = groups.select("key", "doc", fact(["n"]), F.col("doc").alias("component")), sizes
+    now = groups.withColumn("component", F.col("doc"))
     links = seen = found = None
     for k in range(STARS):
         rank = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "doc").alias("r"), "doc", "fact", "component"))
@@ -98,25 +89,28 @@ def link(groups: DataFrame, verify, maps, percent: int, width: int) -> DataFrame
             .distinct()
         )
         star = stage(star if seen is None else star.join(seen, ["a", "b"], "left_anti"), "pairs")
-        sweep(spark)
         fresh = stage(verify(star), "links-found")
         seen = star if seen is None else seen.unionByName(star)
         links = fresh if links is None else links.unionByName(fresh)
         if found is None or fresh.limit(1).count():
             found = stage(components(links), "components")
+        sweep(spark)
         placed = groups.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-        now = stage(placed.join(open_keys, "key").select("key", "doc", "n", "component", "m"), "groups-open")
+        now = stage(placed.join(open_keys, "key").select("key", "doc", "fact", "component", "m"), "groups-open")
+        sweep(spark)
         rows, pairs = now.agg(F.count(F.lit(1)), F.sum(F.col("m") - 1)).first()
         if not rows:
             return found
-        known = stage(maps(now.select("doc", "n").distinct()), "parity-maps")
-        now, near = now.join(known, ["doc", "n"]).select("key", "doc", fact(["n", *[f"b{i}" for i in range(width)]]), "component"), lambda x, y: sizes(x, y) & mapped(x, y)
-        sweep(spark)
+        now = now.drop("m")
         if pairs <= PAIRS_A_ROW * rows:
             break
-    one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "fact", "component")]) for i in (1, 2))
-    rest = one.join(other, "key").where((F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2"))).select(*ends("doc1", "doc2")).distinct()
+    if maps:
+        now = now.join(stage(maps(now.select("doc", "fact").distinct()), "facts-wide"), ["doc", "fact"])
+    else:
+        now, then = now.withColumn("wide", F.lit(0)), lambda x, y: F.lit(True)
+    one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "fact", "wide", "component")]) for i in (1, 2))
+    rest = one.join(other, "key").where((F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2")) & then(F.col("wide1"), F.col("wide2"))).select(*ends("doc1", "doc2")).distinct()
     rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "pairs-rest")
     sweep(spark)
     more = stage(verify(rest), "links-more")

@@ -3,9 +3,9 @@
 Lines are compared lower-cased and trimmed; blank ones stay. Equal lines, of any length, collapse first, by two 64-bit
 hashes. A line's signature is its ``KEPT`` least hashes (a bottom-k MinHash) over character shingles of up to ``SIGNED``
 characters, those that follow no ASCII letter, digit or underscore (so words begin some, and every character of other
-scripts one): one rule for every line, chosen by content alone. A band is a run of ``ROWS`` neighbours in the sorted signature; sets of at most ``TINY`` shingles also have the
-runs of two, so that one odd shingle never hides them. Lines that agree in a band are candidates, verified by the
-exact Jaccard similarity of their sets of ``SHINGLE``-character shingles, at least ``PERCENT``. Union-find over the
+scripts one): one rule for every line, chosen by content alone. A band is a run of ``ROWS`` neighbours in the sorted signature; signatures of at most ``TINY`` hashes also have the
+runs of two, so that one odd shingle never hides them. Lines that agree in a band, and in ``SHARED`` percent of the smaller
+signature, are candidates, verified by the exact Jaccard similarity of their sets of ``SHINGLE``-character shingles, at least ``PERCENT``. Union-find over the
 links gives components; each keeps one line, that of the least document, in it the first place, and all its other places go.
 
 Documents are told apart by doc_id and a hash of the text, null ids last; rows that agree in both are one document and
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import few, let, release, stage, sweep, table
-from ._groups import link, parity, shared_keys
+from ._groups import link
 
 SHINGLE = 5
 SIGNED = 8
@@ -29,7 +29,8 @@ PERCENT = 80
 KEPT = 12
 ROWS = 3
 TINY = 9
-WIDTH = 4
+#: Percentage of the smaller signature that candidates share at least; links at the threshold share about two thirds.
+SHARED = 40
 LAST = (1 << 63) - 1
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -48,27 +49,33 @@ def _trimmed(line) -> F.Column:
 
 
 def signature(line: F.Column) -> F.Column:
-    """The bands of a line."""
+    """The least hashes of a line's shingles, sorted."""
     shingles = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\w)(?=(\S.{{0,{SIGNED - 1}}}))"), F.lit(1))
-    hashes = F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))), 1, KEPT)
 
-    def runs(low, rows):
-        at = F.sequence(F.lit(1), F.size(low) - rows + 1)
-        return F.when(F.size(low) >= rows, F.transform(at, lambda i: F.xxhash64(F.lit(rows), *[F.get(low, i + k - 1) for k in range(rows)]))).otherwise(F.array().cast("array<bigint>"))
 
-    def bands(every):
-        low = F.slice(every, 1, KEPT)
-        tiny = F.when(F.size(every) <= TINY, runs(every, 2)).otherwise(F.array().cast("array<bigint>"))
-        whole = F.when(F.size(every) <= 2, F.array(F.xxhash64(F.lit(1), every))).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(let(low, lambda x: runs(x, ROWS)), tiny, whole)
+def bands(low: F.Column) -> F.Column:
+    """The keys of a signature."""
+    none = F.array().cast("array<bigint>")
 
-    return let(hashes, bands)
+    def runs(x, rows):
+        at = F.sequence(F.lit(1), F.size(x) - rows + 1)
+        return F.when(F.size(x) >= rows, F.transform(at, lambda i: F.xxhash64(F.lit(rows), *[F.get(x, i + k - 1) for k in range(rows)]))).otherwise(none)
+
+    tiny = lambda x: F.when(F.size(x) <= TINY, runs(x, 2)).otherwise(none)
+    whole = lambda x: F.when(F.size(x) <= 2, F.array(F.xxhash64(F.lit(1), x))).otherwise(none)
+    return let(low, lambda x: F.concat(runs(x, ROWS), tiny(x), whole(x)))
+
+
+def alike(x: F.Column, y: F.Column) -> F.Column:
+    """Whether two signatures share enough for their lines to be compared."""
+    return 100 * F.size(F.array_intersect(x, y)) >= SHARED * F.least(F.size(x), F.size(y))
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc, fp, pos, h, g (two hashes) and bands of every line that isn't blank."""
+    """doc, fp, pos, h, g (two hashes) and signature (low) of every line that isn't blank."""
     lines = docs.select(*_id(docs), F.posexplode(_split("text")).alias("pos", "line")).select("doc", "fp", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc", "fp", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), signature(F.col("line")).alias("bands"))
+    return lines.select("doc", "fp", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), signature(F.col("line")).alias("low"))
 
 
 def shingle_hashes(line: F.Column) -> F.Column:
@@ -87,36 +94,29 @@ def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc, fp, pos, h of every line; distinct lines h with their first place; components of their h)."""
     spark = docs.sparkSession
     lines = stage(signed_lines(docs), "lines-signed")
-    heads = stage(lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("bands").alias("bands")), "line-heads")
+    heads = stage(lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("low").alias("low")), "line-heads")
     places = stage(lines.select("doc", "fp", "pos", "h"), "line-places")
     release(lines)
     sweep(spark)
-    posted = lambda: heads.select(F.col("h").alias("doc"), F.explode("bands").alias("key"))
+    posted = lambda: heads.select(F.col("h").alias("doc"), F.explode(bands(F.col("low"))).alias("key"))
     keys = stage(posted().groupBy("key").count().where("count > 1").select("key"), "line-keys")
     sweep(spark)
-    posts = stage(posted().join(keys, "key"), "line-posts")
-    sweep(spark)
-    asked = heads.select("h", "first").join(posts.select(F.col("doc").alias("h")).distinct(), "h").select("h", "first.*")
-    asked = stage(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "h")).alias("own")), "lines-asked")
-    own = docs.select(*_id(docs), "text").join(few(asked, 1 << 18), ["doc", "fp"])
-    line = lambda every: F.transform("own", lambda p: F.struct(p.h.alias("h"), _trimmed(F.get(every, p.pos)).alias("line")))
-    texts = own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line"))
-    texts = stage(texts.select("h", "line", F.size(shingle_hashes(F.col("line"))).alias("n")), "line-texts")
-    sweep(spark)
-    groups = stage(posts.join(texts.select(F.col("h").alias("doc"), "n"), "doc"), "line-groups")
-    release(posts, keys, asked)
+    groups = stage(posted().join(keys, "key").join(heads.select(F.col("h").alias("doc"), F.col("low").alias("fact")), "doc"), "line-groups")
+    release(keys)
     sweep(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        asked = heads.select("h", "first").join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").select("h", "first.*")
+        asked = stage(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "h")).alias("own")), "lines-asked")
+        own = docs.select(*_id(docs), "text").join(few(asked, 1 << 18), ["doc", "fp"])
+        line = lambda every: F.transform("own", lambda p: F.struct(p.h.alias("h"), _trimmed(F.get(every, p.pos)).alias("line")))
+        # rows that repeat an id and a text give a line twice
+        texts = stage(own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         similar = let(F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y")), lambda s: _reach(s.x, s.y))
         return both.where(similar).select("a", "b")
 
-    def maps(some: DataFrame) -> DataFrame:
-        hashes = texts.join(some.select(F.col("doc").alias("h")), "h").select(F.col("h").alias("doc"), "n", shingle_hashes(F.col("line")).alias("s"))
-        return hashes.select("doc", "n", F.explode("s").alias("x")).groupBy("doc", "n").agg(*parity(F.col("x"), WIDTH))
-
-    return places, heads.select("h", "first"), link(groups, verify, maps, PERCENT, WIDTH)
+    return places, heads.select("h", "first"), link(groups, verify, alike)
 
 
 def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
@@ -133,13 +133,12 @@ def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), doc.alias("_doc"), fp.alias("_fp"))
     whole = whole.join(gone.withColumnsRenamed({"doc": "_doc", "fp": "_fp"}), ["_doc", "_fp"], "left")
-    every = F.split(F.col("_row.text"), "\n")
-    stays = let(F.coalesce("_gone", F.array().cast("array<int>")), lambda out: F.when(F.size(out) == 0, every).otherwise(F.filter(every, lambda _, i: ~F.array_contains(out, i))))
-    whole = whole.select("_row", every.alias("_lines"), stays.alias("_stays"))
+    text = F.col("_row.text")
+    stays = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i))
     return whole.select(
-        *[(F.array_join("_stays", "\n").alias("text") if c == "text" else F.col(f"_row.`{c}`")) for c in names],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_stays"), F.lit(0)).cast("long").alias("n_removed"),
+        *[(F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(stays, "\n")).alias("text") if c == "text" else F.col(f"_row.`{c}`")) for c in names],
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import few, release, small_batches, stage, sweep, table
-from ._groups import link, shared_keys
+from ._groups import link, shared_keys, within
 from ._words import chained, mixed, slices, word_hashes, words
 
 WORDS = 4
@@ -43,7 +43,7 @@ PAGE = 14
 #: A token is frequent if its counter has this many times the mean count, and this many more.
 TIMES, MORE = 4, 32
 #: Longs of a parity map.
-WIDTH = 16
+WIDTH = 8
 
 
 def token_sets(data: np.ndarray, bounds: np.ndarray, k: int):
@@ -211,12 +211,13 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
 
     def maps(some: DataFrame) -> DataFrame:
         part = lambda k: F.conv(F.hex(F.substring("map", 8 * k + 1, F.lit(8))), 16, -10).cast("long").alias(f"b{k}")
-        return owned.select("doc", "n", "map").join(some, ["doc", "n"], "left_semi").select("doc", "n", *[part(k) for k in range(WIDTH)])
+        wide = owned.select("doc", F.struct("n").alias("fact"), F.struct("n", *[part(k) for k in range(WIDTH)]).alias("wide"))
+        return wide.join(some, ["doc", "fact"], "left_semi")
 
-    found = link(groups, verify, maps, percent, WIDTH)
+    sizes = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    found = link(groups.select("key", "doc", F.struct("n").alias("fact")), verify, sizes, maps, within(percent, WIDTH))
     release(owned, sets, groups)
     named = full.join(heads, ["n", "s1", "s2"]).join(found.withColumnRenamed("node", "head"), "head", "left")
-    # a doc_id of several sets reaches what each of them reaches
     alone = narrow.where("n = 0 or doc is null").select("doc", "n", F.col("doc").alias("component_id"))
     out = named.select("doc", "n", F.coalesce("component", "head").alias("component_id")).unionByName(alone)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
