@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import few, let, release, stage, sweep, table
-from ._groups import link
+from ._groups import link, parity, within
 
 SHINGLE = 5
 SIGNED = 8
@@ -31,6 +31,8 @@ ROWS = 3
 TINY = 9
 #: Percentage of the smaller signature that candidates share at least; links at the threshold share about two thirds.
 SHARED = 40
+#: Longs of a parity map of the compared shingles.
+WIDTH = 16
 LAST = (1 << 63) - 1
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -105,18 +107,29 @@ def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     release(keys)
     sweep(spark)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = heads.select("h", "first").join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h").select("h", "first.*")
+    def lines_of(some: DataFrame) -> DataFrame:
+        """h, line of the lines ``some`` (h)."""
+        asked = heads.select("h", "first").join(some, "h").select("h", "first.*")
         asked = stage(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "h")).alias("own")), "lines-asked")
         own = docs.select(*_id(docs), "text").join(few(asked, 1 << 18), ["doc", "fp"])
         line = lambda every: F.transform("own", lambda p: F.struct(p.h.alias("h"), _trimmed(F.get(every, p.pos)).alias("line")))
         # rows that repeat an id and a text give a line twice
-        texts = stage(own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+        return stage(own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = lines_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         similar = let(F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y")), lambda s: _reach(s.x, s.y))
         return both.where(similar).select("a", "b")
 
-    return places, heads.select("h", "first"), link(groups, verify, alike)
+    def maps(some: DataFrame) -> DataFrame:
+        hashes = lines_of(some.select(F.col("doc").alias("h"))).select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s"))
+        found = hashes.select("doc", F.explode("s").alias("x")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), *parity(F.col("x"), WIDTH))
+        return some.join(found.select("doc", F.struct("n", *[f"b{k}" for k in range(WIDTH)]).alias("wide")), "doc")
+
+    sizes = lambda x, y: 100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])
+    mapped = within(PERCENT, WIDTH)
+    return places, heads.select("h", "first"), link(groups, verify, alike, maps, lambda x, y: sizes(x, y) & mapped(x, y))
 
 
 def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
