@@ -4,10 +4,10 @@ A document's tokens are the hashes of its distinct shingles, in one order for al
 frequent class, by hash inside a class. With ``n`` tokens and the threshold ``t`` a link shares at least ``ceil(t * n)`` of
 them, so the first ``n - ceil(t * n) + k`` tokens, the extended prefix, hold the ``k`` first common ones; ``k`` is an eighth of
 the least size of a partner. Rare tokens of the prefix are indexed alone. Frequent ones are indexed as combinations of two
-neighbours, over a prefix of ``2 * d + 2`` tokens and half of ``k``, where ``d = floor((1 - t) / t * n)`` bounds the tokens that
-only one of the two sets has: if fewer than half of the first common tokens are rare, all later common ones are
+neighbours, over a prefix of ``2 * d + 2 + k`` tokens, where ``d = floor((1 - t) / t * n)`` bounds the tokens that
+only one of the two sets has: if not all of the ``k`` first common tokens are rare, all later common ones are
 frequent, at most ``d`` odd tokens leave ``d + 1`` gaps, and so two common ones stand side by side in both sets. A document that
-shares with others neither half of ``k`` rare tokens nor one combination links with nobody and leaves; what stays is a candidate
+shares with others neither ``k`` rare tokens nor one combination links with nobody and leaves; what stays is a candidate
 wherever it shares an entry.
 
 Classes come from counters of fixed number over all tokens of all documents (the frequent ones are a bit set of
@@ -117,7 +117,7 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
     rare, rest = tokens[~often], tokens[often]
     out = [rare[:short] & ~np.uint64(1)]
     if len(rare) < short:
-        near = rest[: max(0, 2 * ((100 - percent) * n // percent) + 2 + (k + 1) // 2 - len(rare))]
+        near = rest[: max(0, 2 * ((100 - percent) * n // percent) + 2 + k - len(rare))]
         # a set of one token has no neighbours
         out.append(mixed(near[:-1] * np.uint64(0x9E3779B97F4A7C15) + mixed(near[1:])) | np.uint64(1) if n > 1 else near | np.uint64(1))
     return np.unique(np.concatenate(out))
@@ -197,7 +197,7 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) ->
     combined = F.col("key") % 2 != 0
     able = shared.groupBy("doc", "n").agg(F.count_if(combined).alias("pairs"), F.count_if(~combined).alias("rare"))
     least = F.greatest(F.lit(1), F.expr(f"(n * {percent}) div 100 div {EXTENDED}"))
-    able = stage(able.where((F.col("pairs") > 0) | (2 * F.col("rare") >= least)).select("doc", "n"), "join-able")
+    able = stage(able.where((F.col("pairs") > 0) | (F.col("rare") >= least)).select("doc", "n"), "join-able")
     groups = stage(shared.join(able, ["doc", "n"]).select("key", "doc", "n").distinct(), "join-groups")
     release(shared, keys)
     sweep(spark)
