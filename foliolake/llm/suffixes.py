@@ -10,10 +10,10 @@ document of a smaller doc_id. Two stages keep the suffix array small and spread:
 2. Suffixes. Stretches of shared anchors are dealt by anchor. A task takes
    stretches it has seen in a smaller document as they are, and sorts the
    suffixes of the others: the suffix array by their first ``LENGTH`` bytes, ties in
-   order of doc_id. The longest previous factor of a suffix is the longer of its
-   common prefixes with the previous and the next suffix of a smaller document.
-   Among ties the next one is never smaller, so the factor reaches ``LENGTH``
-   exactly if the previous smaller one lies in the same run of ties.
+   order of doc_id, and the array of common prefixes of neighbours. The longest
+   previous factor of a suffix is the longer of its common prefixes with the previous
+   and the next suffix of a smaller document (:func:`previous_factors`); windows whose
+   factor reaches ``LENGTH`` go.
 
 Stretches and windows are compared byte by byte. A task holds the distinct stretches of
 one anchor, not their occurrences. Nulls: a null text is empty; a null doc_id
@@ -97,8 +97,37 @@ def _send(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs[i + row]), pa.array(prints[i + row]), pa.array(first - bounds[row]), pa.array(blobs, pa.binary())], ["key", "doc", "fp", "start", "bytes"])
 
 
+def previous_factors(common: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor of each suffix: of a suffix array in order, the bytes that each entry has in common with the
+    one before it (``common``) and their documents.
+
+    It is the longer of the common prefixes with the previous and the next entry of a smaller document, each the least of
+    ``common`` on the way there. The ways are walked for all entries at once, a step over entries that are not smaller being
+    as long as the way that these have walked. A way ends where less than ``length`` is common, so that factors of ``length`` and
+    more are exact, and shorter ones at most what they are given as.
+    """
+    n = len(doc)
+    best = np.zeros(n, np.int64)
+    ahead = np.append(common[1:], 0) if n else common
+    for step, least in ((-1, common.copy()), (1, ahead.copy())):
+        at = np.arange(n) + step
+        least[(at < 0) | (at >= n)] = 0
+        live = np.flatnonzero(least >= length)
+        live = live[doc[at[live]] >= doc[live]]
+        while len(live):
+            over = at[live]
+            shared, there = np.minimum(least[live], least[over]), at[over]
+            least[live], at[live] = shared, there
+            live = live[(shared >= length) & (there >= 0) & (there < n)]
+            live = live[doc[at[live]] >= doc[live]]
+        found = np.flatnonzero((at >= 0) & (at < n))
+        found = found[doc[at[found]] < doc[found]]
+        best[found] = np.maximum(best[found], least[found])
+    return best
+
+
 def repeated_windows(items: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
-    """For items (anchor, doc, stretch): which windows of each also start, under the same anchor, in a smaller document."""
+    """For items (anchor, doc, stretch): which windows of each have a previous factor of ``length`` bytes, under the same anchor in a smaller document."""
     sizes = np.array([len(x[2]) for x in items], np.int64)
     windows = sizes - length + 1
     data = np.frombuffer(b"".join(x[2] for x in items), np.uint8)
@@ -112,12 +141,14 @@ def repeated_windows(items: list[tuple[int, int, bytes]], length: int = LENGTH)
     anchor = np.array([x[0] for x in items], np.int64)[item]
     doc = np.array([x[1] for x in items], np.int64)[item]
     order = np.lexsort((doc, *[columns[:, k] for k in range(width - 1, -1, -1)], anchor))
-    sorted_text, sorted_anchor, sorted_doc = columns[order], anchor[order], doc[order]
-    run = np.ones(len(order), bool)
-    run[1:] = (sorted_text[1:] != sorted_text[:-1]).any(axis=1) | (sorted_anchor[1:] != sorted_anchor[:-1])
-    head = sorted_doc[np.flatnonzero(run)][np.cumsum(run) - 1]
+    common = np.zeros(len(order), np.int64)
+    for i in range(1, len(order), 1 << 16):
+        differ = text[order[i : i + (1 << 16)]] != text[order[i - 1 : i - 1 + (1 << 16)]][: len(order) - i]
+        common[i : i + (1 << 16)] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    if len(order):
+        common[1:][anchor[order][1:] != anchor[order][:-1]] = 0
     found = np.zeros(len(order), bool)
-    found[order] = head < sorted_doc
+    found[order] = previous_factors(common, doc[order], length) >= length
     return np.split(found, begin[1:])
 
 
