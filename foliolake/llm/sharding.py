@@ -10,7 +10,8 @@ that are still too large go to another round over further bits.
 Nulls: a null id hashes as the empty string, a null text has 0 bytes. A single
 document above the limit has a shard of its own, and rows that agree in id and
 text stay together; both are marked ``over_limit``. An empty table gives no
-shards. Other columns of the input are kept.
+shards. Other columns of the input are kept, but for those of the names that
+are added (shard, depth, n_bytes, shard_bytes, shard_docs, over_limit), which are replaced.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES, key: str = "doc_id",
             more = hash60(F.concat_ws(":", F.lit(str(k)), F.coalesce(F.col(f"row.`{key}`").cast("string"), F.lit("")), F.coalesce(F.col(f"row.`{text}`"), F.lit(""))))
             rows = rows.withColumn("_bits", F.concat("_bits", _bits(more, BITS)))
         low, high = high + 1, high + STEP
-    return done.select("row.*", *[c for c in done.columns if c != "row" and c not in own])
+    return done.select(*[F.col(f"row.`{c}`") for c in own if c not in done.columns], *[c for c in done.columns if c != "row"])
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
