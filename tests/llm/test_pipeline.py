@@ -48,3 +48,24 @@ def test_near_copies_between_the_thresholds_go(spark):
     assert share(one, other, 5) >= 80 and share(one, other, 4) < 85 and max(share(one, third, 5), share(other, third, 5)) < 80
     docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(third))], "doc_id long, text string")
     assert sorted(r.doc_id for r in p.keep_one_of_near_copies(spark, docs, DATA).collect()) == [1, 3]
+
+
+def test_awkward_documents_are_judged_one_by_one(spark):
+    import corpus_pipeline as p
+
+    from .cases import empty
+
+    one, other, third = (" ".join(f"{c}{i}" for i in range(120)) for c in "abc")
+    rows = [(3, one), (5, one + " more"), (5, other), (7, third), (7, third), (None, one), (None, " ".join(f"d{i}" for i in range(90))), (9, None), (10, ""), (11, "e " * 40_000)]
+    docs = spark.createDataFrame([(d, t, "en", "s", None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp int")
+    out = p.keep_one_of_near_copies(spark, docs, DATA)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, (r.text or "")[:3]) for r in out.collect()), key=str)
+    assert [k for k in kept if k[0] not in (None, 3, 5)] == [(10, ""), (11, "e e"), (7, "c0 "), (9, "")]
+    assert sum(t == "a0 " for _, t in kept) == 1 and (5, "b0 ") in kept and (None, "d0 ") in kept
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(1, item), (1, one), (None, item), (None, other)], "doc_id long, text string")
+    assert sorted(r.text[:3] for r in p.drop_leaks(spark, docs, DATA).collect()) == ["a0 ", "b0 "]
+    none = empty(spark)
+    for _, step in p.STAGES:
+        assert step(spark, none, DATA).count() == 0
