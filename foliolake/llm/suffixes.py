@@ -33,7 +33,7 @@ from ._groups import shared_keys
 from ._words import BYTE, mixed, powers, slices
 
 LENGTH = 50
-GRAM = 24
+GRAM = 16
 LAST = (1 << 63) - 1
 #: Windows that a task sorts at a time, about.
 AT_ONCE = 400_000
