@@ -25,7 +25,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,22 +76,20 @@ def _count(k: int, bits: int, page: int):
     return run
 
 
-def _sum_pages(page: int):
-    def run(frames):
-        out: dict[int, np.ndarray] = {}
-        for pdf in frames:
-            for p, blob in zip(pdf["page"], pdf["counts"]):
-                part = np.frombuffer(zlib.decompress(blob), np.int64)
-                out[p] = out[p] + part if p in out else part
-        yield pd.DataFrame({"page": list(out), "total": [int(x.sum()) for x in out.values()], "counts": [zlib.compress(x.tobytes(), 1) for x in out.values()]})
-
-    return run
+def _sum_pages(batches):
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for p, blob in zip(batch.column("page").to_pylist(), batch.column("counts").to_pylist()):
+            part = np.frombuffer(zlib.decompress(blob), np.int64)
+            out[p] = out[p] + part if p in out else part
+    columns = [pa.array(list(out), pa.int32()), pa.array([int(x.sum()) for x in out.values()], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in out.values()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, ["page", "total", "counts"])
 
 
 def frequent_class(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.ndarray:
     """A bit per counter: whether its tokens are frequent. Pages of counters are summed by tasks; the driver gets a page at a time, of fixed size and number."""
     pages = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count(k, bits, PAGE), "page int, counts binary")
-    pages = stage(pages.repartition("page").mapInPandas(_sum_pages(PAGE), "page int, total long, counts binary"), "join-counters")
+    pages = stage(pages.repartition("page").mapInArrow(_sum_pages, "page int, total long, counts binary"), "join-counters")
     mean = (pages.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
     often = np.zeros(1 << bits, bool)
     for row in pages.select("page", "counts").toLocalIterator():
