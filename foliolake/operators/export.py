@@ -11,9 +11,11 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 
 
 def bodies(pages: DataFrame) -> DataFrame:
-    """``pages``: doc_id, page, lines (seq, body). ``bodies``: those in order, stubs left out."""
+    """``pages``: doc_id, page, lines (seq, body), text. ``bodies``: the lines' in order, of a page without lines those of its text; stubs left out."""
     ordered = F.transform(F.array_sort(F.transform("lines", lambda x: F.struct(x.seq, x.body))), lambda x: x.body)
-    return pages.withColumn("bodies", F.filter(ordered, lambda b: ~b.startswith(X.STUB)))
+    plain = F.split(F.regexp_replace(F.col("text"), r"(\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}])$", ""), r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]")
+    own = F.when(F.size("lines") > 0, ordered).when(F.length("text") > 0, plain).otherwise(F.array().cast("array<string>"))
+    return pages.withColumn("bodies", F.filter(own, lambda b: ~X.strip(b).startswith(X.STUB)))
 
 
 def txt(pages: DataFrame) -> DataFrame:
@@ -62,9 +64,9 @@ def xml(pages: DataFrame) -> DataFrame:
 
 
 def safe_stem(name: Column) -> Column:
-    """An ASCII name for a download."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[^A-Za-z0-9._-]+", "_")
-    return F.when(F.regexp_replace(stem, r"[._-]", "") == "", "document").otherwise(stem)
+    """An ASCII name for a download: every other character an underscore, none of them at the ends."""
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", ""), r"[^A-Za-z0-9_-]", "_"), r"^_+|_+$", "")
+    return F.when(stem == "", "document").otherwise(stem)
 
 
 def disposition(name: Column, extension: str) -> Column:
@@ -74,5 +76,6 @@ def disposition(name: Column, extension: str) -> Column:
 
 
 def write_csv(lines: DataFrame, columns: list[str], path: str) -> None:
-    """One file per partition: mark, header, rows, CRLF."""
-    lines.select(columns).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """One file per partition: byte-order mark, header, rows, CRLF."""
+    head = [F.col(c).alias(f"﻿{c}" if k == 0 else c) for k, c in enumerate(columns)]
+    lines.select(head).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)

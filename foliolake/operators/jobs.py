@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # Other services' words for the five states.
 STATUS = {
-    "uploading": ["uploading", "upload"],
-    "queued": ["queued", "pending", "waiting"],
-    "processing": ["processing", "running", "in_progress"],
-    "done": ["done", "complete", "completed", "finished", "success"],
-    "error": ["error", "failed", "failure"],
+    "uploading": ["in_flight", "upload", "uploading"],
+    "queued": ["queued", "waiting"],
+    "processing": ["pending", "process", "processing", "running"],
+    "done": ["complete", "completed", "done", "ok"],
+    "error": ["error", "fail", "failed"],
 }
 MODES = ("auto", "light", "heavy")
 

@@ -43,12 +43,12 @@ def drop_page(corrections: DataFrame, page) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The saved map after an edit: pages of ``new`` replace those of ``old``, in reading order."""
+    """The saved map after an edit: pages of ``new`` replace those of ``old``. Rows carry their place (page, seq, word), in no order."""
     pages = new.select("doc_id", "page").distinct()
-    return old.join(pages, ["doc_id", "page"], "left_anti").unionByName(new).orderBy("doc_id", "page", "seq", "word")
+    return old.join(pages, ["doc_id", "page"], "left_anti").unionByName(new)
 
 
 def learned(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs before, after of ``new`` that ``old`` lacks, once each, blanks and unchanged words left out."""
-    pairs = new.select("before", "after").where("before <> '' and after <> '' and before <> after").distinct()
+    """Pairs before, after of ``new`` that ``old`` lacks, once each, empty words left out; a word that was confirmed as it is counts too."""
+    pairs = new.select("before", "after").where("before <> '' and after <> ''").distinct()
     return pairs.join(old.select("before", "after").distinct(), ["before", "after"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -41,8 +41,20 @@ def enrich(pages: DataFrame, script: X.Script) -> DataFrame:
     return pages.withColumn("lines", F.transform("lines", line))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to twice as many tasks as there are cores, if its files are fewer than the cores: scans split no row group."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = docs.inputFiles()
+    return docs.repartition(2 * cores, F.xxhash64("doc_id")) if 0 < len(files) < cores else docs
+
+
 def document_lines(docs: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
-    """doc_id, page, seq, body: the lines of plain texts, in pages of ``per_page``."""
+    """doc_id, page, seq, body: the lines of plain texts, in pages of ``per_page``.
+
+    Files of few row groups would leave all lines to as few tasks, so texts are dealt out first where a scan has fewer
+    partitions than the cluster has cores; inputs of many files are read as they are.
+    """
+    docs = spread(docs.select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "body")).select(
         "doc_id", (F.floor(F.col("k") / per_page) + 1).cast("int").alias("page"), (F.col("k") % per_page + 1).alias("seq"), "body"
     )
@@ -54,16 +66,26 @@ def scored_lines(docs: DataFrame, script: X.Script) -> DataFrame:
     return lines.withColumn("needs_review", X.needs_review(F.col("body"), F.col("confidence")))
 
 
+def page_review(profile, best) -> Column:
+    """Whether a person must look at a page: HEAVY ones whatever their confidence, and those whose best line is below the floor or missing."""
+    return F.coalesce(profile == "HEAVY", F.lit(False)) | (F.coalesce(best, F.lit(0.0)) < X.PAGE_FLOOR)
+
+
+def _profile(lines: DataFrame) -> Column:
+    """The page's profile, where lines carry one."""
+    return F.max("profile") if "profile" in lines.columns else F.lit("FAST")
+
+
 def build_pages(lines: DataFrame) -> DataFrame:
     """One row per page with its lines in order, ids, the text, and whether a person must look at it."""
     own = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("L"), F.col("seq").cast("string")).alias("id"), "body", "confidence", "needs_review")))
-    pages = lines.groupBy("doc_id", "page").agg(own.alias("lines"))
+    pages = lines.groupBy("doc_id", "page").agg(own.alias("lines"), _profile(lines).alias("profile"))
     return pages.select(
         "doc_id",
         "page",
         "lines",
         F.array_join(F.transform("lines", lambda x: x.body), "\n").alias("text"),
-        (F.coalesce(F.array_max(F.transform("lines", lambda x: x.confidence)), F.lit(0.0)) < X.PAGE_FLOOR).alias("needs_review"),
+        page_review(F.col("profile"), F.array_max(F.transform("lines", lambda x: x.confidence))).alias("needs_review"),
     )
 
 
@@ -74,7 +96,7 @@ def page_summaries(lines: DataFrame) -> DataFrame:
         F.count_if("needs_review").alias("n_review"),
         F.max("confidence").alias("best"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"),
-        (F.max("confidence") < X.PAGE_FLOOR).alias("needs_review"),
+        page_review(_profile(lines), F.max("confidence")).alias("needs_review"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .pages import page_review
 
 MOST_CANDIDATES, MOST_SHOWN, LONGEST = 3, 9, 256
 
@@ -43,8 +44,16 @@ def context(rows: DataFrame, key: str, order: str, text: str, reach: int = 2) ->
 
 
 def receipt(lines: DataFrame) -> DataFrame:
-    """Per document: pages and lines, automatic and for people; corrections that count. ``lines`` has needs_review and applied."""
-    pages = lines.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_review").alias("human"), F.sum(F.size("applied")).alias("corrections"), (F.max("confidence") < X.PAGE_FLOOR).alias("review"))
+    """Per document: pages and lines, automatic and for people; corrections that count, pages with stubs, milliseconds. ``lines`` has needs_review and applied, and may have its page's profile and processing_ms."""
+    has = lambda c: c in lines.columns
+    pages = lines.groupBy("doc_id", "page").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("needs_review").alias("human"),
+        F.sum(F.size("applied")).alias("corrections"),
+        page_review(F.max("profile") if has("profile") else F.lit("FAST"), F.max("confidence")).alias("review"),
+        F.max(X.is_stub(F.col("body"))).alias("stub"),
+        (F.max("processing_ms") if has("processing_ms") else F.lit(0)).alias("ms"),
+    )
     return pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if("review").alias("pages_human"),
@@ -53,6 +62,8 @@ def receipt(lines: DataFrame) -> DataFrame:
         F.sum("human").alias("lines_human"),
         F.sum(F.col("n") - F.col("human")).alias("lines_auto"),
         F.sum("corrections").alias("corrections"),
+        F.count_if("stub").alias("stub_pages"),
+        F.sum(F.coalesce("ms", F.lit(0))).cast("long").alias("processing_ms"),
     )
 
 

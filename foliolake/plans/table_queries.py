@@ -77,10 +77,10 @@ def unindexed_jobs_anti(spark, d):
     return search.unindexed(job_table(spark, d).withColumnRenamed("job_id", "doc_id"), index).select(F.col("doc_id").alias("job_id"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'uploading' ELSE 'processing' END AS status FROM events")
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'click' THEN 'uploading' ELSE 'processing' END AS status FROM events")
 def status_aliases(spark, d):
     """Other services' words for states."""
-    words = F.create_map(*[F.lit(x) for x in ("purchase", " Completed", "error", "FAILED", "view", "waiting", "click", "upload", "signup", "strange")])
+    words = F.create_map(*[F.lit(x) for x in ("purchase", " OK ", "error", "Fail", "view", "pending", "click", "in_flight", "signup", "finished")])
     return table(spark, d, "events").select("event_id", jobs.status(words[F.col("event_type")]).alias("status"))
 
 
@@ -246,10 +246,10 @@ def candidate_topk(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(found, lambda x: x.text), "|").alias("best"))
 
 
-@query("SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') AS stem FROM customer")
+@query("SELECT c_custkey, trim(regexp_replace('_' || c_name || ' v1.2  b_', '[^A-Za-z0-9_-]', '_', 'g'), '_') AS stem FROM customer")
 def safe_names(spark, d):
     """Names of downloads."""
-    return table(spark, d, "customer").select("c_custkey", export.safe_stem(F.col("c_name")).alias("stem"))
+    return table(spark, d, "customer").select("c_custkey", export.safe_stem(F.concat(F.lit("_"), "c_name", F.lit(" v1.2  b_.pdf"))).alias("stem"))
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type)::INTEGER AS edits, round(levenshtein(p_name, p_type) / length(p_name)::DOUBLE, 6) AS cer FROM part")
@@ -319,8 +319,8 @@ def event_windows_stream(spark, d):
 
 
 def _scratch(spark) -> str:
+    """The folder that driver and executors share; without the setting a temporary one, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="shared-")).rstrip("/")

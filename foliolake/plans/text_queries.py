@@ -42,10 +42,10 @@ def doc_review_summary(spark, d):
     return pages.document_summaries(scored(spark, d))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, page, COUNT(*) AS n_lines, COUNT(*) FILTER (needs_review) AS n_review, MAX(confidence) AS best, round(AVG(confidence), 6) AS mean_confidence, MAX(confidence) < 0.5 AS needs_review FROM reviewed GROUP BY ALL")
+@query(f"WITH {SCORED} SELECT doc_id, page, COUNT(*) AS n_lines, COUNT(*) FILTER (needs_review) AS n_review, MAX(confidence) AS best, round(AVG(confidence), 6) AS mean_confidence, bool_or(page % 3 = 0) OR MAX(confidence) < 0.5 AS needs_review FROM reviewed GROUP BY ALL")
 def pages_needing_review(spark, d):
-    """Per-page counts and the page flag."""
-    return pages.page_summaries(scored(spark, d))
+    """Per-page counts and the page flag; every third page is of the HEAVY profile."""
+    return pages.page_summaries(scored(spark, d).withColumn("profile", F.when(F.col("page") % 3 == 0, "HEAVY").otherwise("FAST")))
 
 
 @query(f"WITH {SCORED} SELECT doc_id, page, string_agg(body, chr(10) ORDER BY seq) AS text, COUNT(*)::INTEGER AS n, MAX(confidence) < 0.5 AS needs_review, string_agg('L' || seq, ' ' ORDER BY seq) AS ids FROM reviewed GROUP BY ALL")
@@ -151,11 +151,12 @@ def applied_corrections(spark, d):
     return done.select("doc_id", "page", "seq", F.explode("applied").alias("c")).select("doc_id", "page", "seq", "c.*", F.lit("human").alias("tier"))
 
 
-@query(f"WITH {CORRECTIONS} SELECT DISTINCT before, after FROM corrections WHERE pos = 2 AND before <> after EXCEPT SELECT before, after FROM corrections WHERE pos = 1")
+@query(f"WITH {CORRECTIONS} SELECT DISTINCT before, CASE WHEN length(before) = 6 THEN before ELSE after END AS after FROM corrections WHERE pos = 2 EXCEPT SELECT before, after FROM corrections WHERE pos = 1")
 def learned_pair_diff(spark, d):
-    """Pairs of the second save that the first lacks."""
+    """Pairs of the second save that the first lacks; words of six letters are confirmed as they are."""
     every = corrections(spark, d)
-    return overlay.learned(every.where("pos = 2"), every.where("pos = 1"))
+    saved = every.where("pos = 2").withColumn("after", F.when(F.length("before") == 6, F.col("before")).otherwise(F.col("after")))
+    return overlay.learned(saved, every.where("pos = 1"))
 
 
 @query(f"WITH {CORRECTIONS}, l AS (SELECT * FROM latest), n AS (SELECT doc_id, page, seq, word, before, 'x' AS after FROM l WHERE page = 1) SELECT doc_id, page, seq, word, before, after FROM l WHERE (doc_id, page) NOT IN (SELECT doc_id, page FROM n) UNION ALL SELECT * FROM n")
@@ -171,10 +172,10 @@ def corrections_without_page(spark, d):
     return overlay.drop_page(overlay.latest(corrections(spark, d)), 2)
 
 
-@query(f"WITH {CORRECTIONS}, s AS (SELECT r.doc_id, r.page, r.confidence, r.needs_review FROM ({{reviewed}}) r), c AS (SELECT doc_id, page, COUNT(*) FILTER (counts) AS c FROM final GROUP BY ALL), p AS (SELECT doc_id, page, COUNT(*) AS n, COUNT(*) FILTER (needs_review) AS h, MAX(confidence) < 0.5 AS review FROM s GROUP BY ALL) SELECT doc_id, COUNT(*) AS pages, COUNT(*) FILTER (review) AS pages_human, COUNT(*) FILTER (NOT review) AS pages_auto, SUM(n)::BIGINT AS lines, SUM(h)::BIGINT AS lines_human, SUM(n - h)::BIGINT AS lines_auto, SUM(c)::BIGINT AS corrections FROM p JOIN c USING (doc_id, page) GROUP BY doc_id".replace("{reviewed}", f"WITH {SCORED} SELECT * FROM reviewed"))
+@query(f"WITH {CORRECTIONS}, s AS (SELECT r.doc_id, r.page, r.confidence, r.needs_review, r.body FROM ({{reviewed}}) r), c AS (SELECT doc_id, page, COUNT(*) FILTER (counts) AS c FROM final GROUP BY ALL), p AS (SELECT doc_id, page, COUNT(*) AS n, COUNT(*) FILTER (needs_review) AS h, MAX(confidence) < 0.5 AS review, bool_or(starts_with(body, '[stub]')) AS stub FROM s GROUP BY ALL) SELECT doc_id, COUNT(*) AS pages, COUNT(*) FILTER (review) AS pages_human, COUNT(*) FILTER (NOT review) AS pages_auto, SUM(n)::BIGINT AS lines, SUM(h)::BIGINT AS lines_human, SUM(n - h)::BIGINT AS lines_auto, SUM(c)::BIGINT AS corrections, COUNT(*) FILTER (stub) AS stub_pages, SUM(10 * page)::BIGINT AS processing_ms FROM p JOIN c USING (doc_id, page) GROUP BY doc_id".replace("{reviewed}", f"WITH {SCORED} SELECT * FROM reviewed"))
 def receipt_totals(spark, d):
     """Receipts."""
-    return review.receipt(overlay.apply(scored(spark, d), corrections(spark, d)))
+    return review.receipt(overlay.apply(scored(spark, d), corrections(spark, d)).withColumn("processing_ms", 10 * F.col("page")))
 
 
 @query(ORACLES["receipt_totals"].replace("SELECT doc_id, COUNT(*) AS pages", "SELECT doc_id, printf('pages %d (auto %d, review %d); lines %d (auto %d, review %d); corrections %d', COUNT(*), COUNT(*) FILTER (NOT review), COUNT(*) FILTER (review), SUM(n)::BIGINT, SUM(n - h)::BIGINT, SUM(h)::BIGINT, SUM(c)::BIGINT) AS text FROM p JOIN c USING (doc_id, page) GROUP BY doc_id --"))
@@ -236,11 +237,11 @@ def page_words(spark, d):
     return lines(spark, d).select("doc_id", "page", "seq", F.posexplode(X.words(F.col("body"))).alias("k", "word")).select("doc_id", "page", "seq", "word", (F.col("k") + 1).alias("place"))
 
 
-@query(f"WITH {SCORED} SELECT doc_id, page, seq, concat_ws(',', page, seq, CASE WHEN regexp_matches(body, '[\",\\r\\n]') THEN '\"' || replace(body, '\"', '\"\"') || '\"' ELSE body END, printf('%.4f', confidence)) AS row FROM scored")
+@query(f"WITH {SCORED} SELECT doc_id, page, seq, concat_ws(',', page, 'L' || seq, seq, CASE WHEN regexp_matches(body, '[\",\\r\\n]') THEN '\"' || replace(body, '\"', '\"\"') || '\"' ELSE body END, printf('%.4f', confidence)) AS row FROM scored")
 def csv_export_rows(spark, d):
-    """CSV rows of lines."""
-    own = scored(spark, d).withColumn("shown", F.format_string("%.4f", "confidence"))
-    return export.csv_rows(own, ["page", "seq", "body", "shown"]).select("doc_id", "page", "seq", "row")
+    """CSV rows of lines: page, line id, place, text, confidence."""
+    own = scored(spark, d).withColumn("shown", F.format_string("%.4f", "confidence")).withColumn("id", F.concat(F.lit("L"), F.col("seq").cast("string")))
+    return export.csv_rows(own, ["page", "id", "seq", "body", "shown"]).select("doc_id", "page", "seq", "row")
 
 
 TXT = LINES + """,

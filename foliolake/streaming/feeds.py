@@ -14,13 +14,15 @@ def events(spark: SparkSession, sf_dir: str, batch_files: int = 16) -> DataFrame
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def folded_log(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """Accepts and skips by word: each micro-batch is aggregated and written under its own number, so a batch that runs again replaces itself."""
+def folded_log(spark: SparkSession, sf_dir: str, path: str, late: str = "400 days") -> DataFrame:
+    """Accepts and skips by word. Event ids count once while they lie within ``late`` of the newest event, whatever batch brings them again; each
+    micro-batch is aggregated and written under its own number, so a batch that runs again replaces itself.
+    """
     kind = F.when(F.col("event_type").isin("purchase", "click", "signup"), "accept").otherwise("skip")
-    log = events(spark, sf_dir).select("event_id", kind.alias("kind"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("before"))
+    log = events(spark, sf_dir).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", kind.alias("kind"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("before"))
 
     def merge(batch: DataFrame, number: int) -> None:
-        part = batch.dropDuplicates(["event_id"]).groupBy("before").agg(F.count_if(F.col("kind") == "accept").alias("accepts"), F.count_if(F.col("kind") == "skip").alias("skips"))
+        part = batch.groupBy("before").agg(F.count_if(F.col("kind") == "accept").alias("accepts"), F.count_if(F.col("kind") == "skip").alias("skips"))
         part.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
     stream = log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()

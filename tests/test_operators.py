@@ -9,7 +9,7 @@ from foliolake.functions import text as X
 from foliolake.functions.udfs import edit_operations, ink_runs, page_metrics, skew_angle, snippet_of
 from foliolake.operators import dictionary, export, filtering, jobs, layout, overlay, pages, review, search
 
-LINE = "கற்றதனால் ஆய பயனென்கொல் வாழறிவன்"
+LINE = "நாளை காலை மழை பெயயும்"
 
 
 def lines(spark, *bodies):
@@ -25,7 +25,7 @@ def finals(spark, bodies, *rows):
 
 
 def test_overlay_applies_and_guards(spark):
-    assert finals(spark, [LINE], (1, 4, 1, "வாழறிவன்", "வாலறிவன்")) == [LINE.replace("வாழறிவன்", "வாலறிவன்")]
+    assert finals(spark, [LINE], (1, 4, 1, "பெயயும்", "பெய்யும்")) == [LINE.replace("பெயயும்", "பெய்யும்")]
     assert finals(spark, ["a  b"], (1, 2, 1, "stale", "c")) == ["a  b"]
     assert finals(spark, ["a  b"], (1, 2, 1, None, "c")) == ["a c"]
     assert finals(spark, ["a b"], (1, 3, 1, "b", "c"), (1, 0, 1, None, "c")) == ["a b"]
@@ -34,7 +34,7 @@ def test_overlay_applies_and_guards(spark):
 
 def test_learned_pairs_are_new_ones(spark):
     new = saved(spark, (1, 1, 1, "a", "b"), (1, 2, 1, "c", "c"), (2, 1, 1, "d", "e"))
-    assert [tuple(r) for r in overlay.learned(new, saved(spark, (9, 9, 1, "d", "e"))).collect()] == [("a", "b")]
+    assert [tuple(r) for r in overlay.learned(new, saved(spark, (9, 9, 1, "d", "e"))).orderBy("before").collect()] == [("a", "b"), ("c", "c")]
 
 
 def test_dictionary_counts_each_event_once(spark):
@@ -110,3 +110,35 @@ def test_image_metrics_tell_clean_from_faded():
     assert sharp[0] > faded[0] and sharp[1] > 0.9 > faded[1]
     assert ink_runs((page < 128).mean(axis=1)) == [(20, 28), (50, 58), (80, 88)]
     assert skew_angle(page) == 0.0
+
+
+def test_edit_operations_prefer_substitutions_then_deletions():
+    import random
+
+    r = random.Random(3)
+    for _ in range(150):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(2))
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [(0, 0, (0, 0, 0))] if i == j == 0 else []
+                if i and j:
+                    c, _, (s, d, n) = best[i - 1, j - 1]
+                    ways.append((c + (a[i - 1] != b[j - 1]), 0, (s + (a[i - 1] != b[j - 1]), d, n)))
+                if i:
+                    c, _, (s, d, n) = best[i - 1, j]
+                    ways.append((c + 1, 1, (s, d + 1, n)))
+                if j:
+                    c, _, (s, d, n) = best[i, j - 1]
+                    ways.append((c + 1, 2, (s, d, n + 1)))
+                best[i, j] = min(ways)
+        assert edit_operations(a, b) == best[len(a), len(b)][2]
+
+
+def test_bodies_of_pages_without_lines_and_names(spark):
+    rows = [(1, 1, [], "one\n  [stub] nothing\r\ntwo\n"), (1, 2, [(2, "b"), (1, "a")], "x"), (1, 3, [], None)]
+    table = spark.createDataFrame(rows, "doc_id int, page int, lines array<struct<seq:int,body:string>>, text string")
+    assert [r.bodies for r in export.bodies(table).orderBy("page").collect()] == [["one", "two"], ["a", "b"], []]
+    names = {"v1.2.pdf": "v1_2", "a  b_.pdf": "a__b", ".pdf": "pdf", "பக்கம்.pdf": "document"}
+    found = spark.createDataFrame([(n,) for n in names], "n string").select("n", export.safe_stem(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in found} == names
