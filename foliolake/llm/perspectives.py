@@ -6,8 +6,9 @@ as those of a user with a name; ``mask`` holds the code-point spans (end exclusi
 on: the speaker's contents and the marks that end them.
 
 A dialogue is rendered in blocks of turns, so that one of any length is never one value:
-turns of equal ``turn div BLOCK_TURNS`` are a block, and where ties make a block too large it falls
-apart by turn and by the turns' hash. Blocks in the order of ``block``, ``part`` make the dialogue.
+turns of equal ``turn div BLOCK_TURNS`` are a block, and where ties make a block larger than ``MOST`` turns it falls
+apart into parts of that many, in order. Blocks in the order of ``block``, ``part`` make the dialogue.
+A very long text is one value of one row.
 
 Turns are ordered by turn, speaker, text; null turns come last. Rows that agree in
 conversation, turn, role and text are one turn. A null role is the speaker ``unknown``;
@@ -17,7 +18,7 @@ zero-width space. Conversations of the system alone have no perspective and empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import table
@@ -40,10 +41,11 @@ def perspectives(turns: DataFrame, block_turns: int = BLOCK_TURNS, most: int = M
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit((1 << 62)))).withColumn("h", F.xxhash64("speaker", "content"))
     sizes = rows.groupBy("conv_id", "block").count().where(F.col("count") > most).select("conv_id", F.col("block").alias("_block"), F.ceil(F.col("count") / most).alias("_parts"))
     rows = rows.join(sizes.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left")
-    part = F.when(F.col("_parts").isNull(), F.lit("")).otherwise(
-        F.concat(F.lpad(F.coalesce(F.col("turn") % block_turns, F.lit(0)).cast("string"), 6, "0"), F.lit("."), F.lpad(F.pmod("h", F.col("_parts")).cast("string"), 12, "0"))
-    )
-    blocks = rows.withColumn("part", part).groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "content"))).alias("turns"))
+    # only crowded blocks are ranked, by a sort that spills
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "content"))
+    crowded = rows.where("_parts is not null").withColumn("part", F.lpad(F.floor((place - 1) / most).cast("string"), 12, "0"))
+    rows = rows.where("_parts is null").withColumn("part", F.lit("")).unionByName(crowded)
+    blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "content"))).alias("turns"))
     speakers = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("me")).distinct()
     seen = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
 
