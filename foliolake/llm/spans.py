@@ -1,9 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Units are sentences: they end with a word that ends in ``.``, ``!`` or ``?``, at a
-line end, and after ``LONG_WORDS`` words at the latest. A span is a run of at
-least ``SPAN`` consecutive units, as many as it takes to reach ``SPAN_WORDS`` words;
-it is hashed over its words, A-Z like a-z. A hash's first occurrence is that in
+Units are sentences: they end with a word that ends in ``.``, ``!`` or ``?``, and at a
+line end. Sentences of more than ``LONG_WORDS`` words fall apart where the words themselves
+say so, before one whose hash is the least of ``REACH`` words on both sides, so that a passage
+without marks has the same units wherever it stands. A span is a run of at
+least ``SPAN`` consecutive units, as many as it takes to reach ``SPAN_WORDS`` words, or a whole
+text that has fewer; it is hashed over its words, A-Z like a-z. A hash's first occurrence is that in
 the document of the smallest doc_id, inside a document the earliest; units
 covered by any other occurrence are removed, with the blanks after them.
 
@@ -13,9 +15,9 @@ the long side of a sort-merge join, which Spark splits where it is skewed. No
 row stands for a pair of occurrences.
 
 Nulls: a null text has no units and stays null; a null doc_id counts as the
-largest. Texts too short for a span are left as they are. Rows that share a
-doc_id aren't compared with each other, only with other documents. Empty tables
-give empty results; other columns stay as they are.
+largest. Rows that share a doc_id, repeated ones too, aren't compared with each other, only with other documents. A very
+long text is worked on as one slice, some 30 bytes a byte of a task's memory. Empty tables
+give empty results; other columns stay as they are, n_units and n_removed of the input are replaced.
 """
 
 from __future__ import annotations
@@ -32,12 +34,26 @@ from ._words import mixed, powers, slices, word_hashes, words
 SPAN = 3
 SPAN_WORDS = 12
 LONG_WORDS = 16
+#: Words on each side that a cut of a long sentence is chosen among.
+REACH = 4
 LAST = (1 << 63) - 1
 
 _CLOSES = np.zeros(256, bool)
 _CLOSES[[ord(c) for c in ".!?"]] = True
 
 
+def valleys(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Words whose hash lies below those of ``reach`` words before and not above those of ``reach`` words after."""
+    edge = np.full(reach, np.iinfo(np.uint64).max)
+    low, width = np.concatenate((edge, hashes, edge)), 1
+    while 2 * width <= reach:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    if width < reach:
+        low = np.minimum(low[: len(low) - (reach - width)], low[reach - width :])
+    n = len(hashes)
+    return (hashes < low[:n]) & (hashes <= low[reach + 1 : reach + 1 + n])
+
+
 def spans(data: np.ndarray, bounds: np.ndarray):
     """For each row of a slice: unit starts (bytes), span keys, and the unit after each span."""
     starts, ends, first = words(data, bounds)
@@ -52,14 +68,17 @@ def spans(data: np.ndarray, bounds: np.ndarray):
         closes = _CLOSES[data[ends[a:b] - 1]]
         closes[:-1] |= lines[starts[a + 1 : b]] > lines[ends[a : b - 1]]
         begins = np.concatenate(([True], closes[:-1]))
-        since = np.arange(b - a)
-        since -= np.maximum.accumulate(np.where(begins, since, 0))
-        begins |= since % LONG_WORDS == 0
+        sentence = np.cumsum(begins) - 1
+        long = np.bincount(sentence)[sentence] > LONG_WORDS
+        if long.any():
+            begins |= long & valleys(hashes[a:b])
         unit = np.append(np.flatnonzero(begins), b - a)
         n = len(unit) - 1
         until = np.maximum(np.arange(n) + SPAN, np.searchsorted(unit, unit[:-1] + SPAN_WORDS))
         m = int(np.searchsorted(until, n, "right"))
-        until = until[:m]
+        # a text too short for a span is one itself
+        until = until[:m] if m else np.array([n])
+        m = len(until)
         # sums of position-weighted hashes, shifted back to the span's start
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(hashes[a:b] * powers(b - a), out=total[1:])
@@ -124,6 +143,7 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     flagged = rows().join(firsts, "key").where("doc > first")
     by_doc = stage(flagged.groupBy("doc").agg(F.collect_list("key").alias("_keys")), "span-flags")
     sweep(spark)
+    docs = docs.drop("n_units", "n_removed")
     rest = [c for c in docs.columns if c != "text"]
     whole = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("binary").alias("_text"), doc.alias("_id")).join(by_doc.withColumnRenamed("doc", "_id"), "_id", "left")
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("_kept", "binary").add("n_units", "long").add("n_removed", "long")

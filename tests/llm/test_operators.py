@@ -61,9 +61,10 @@ def test_perspectives_of_awkward_turns(spark):
 
 
 def test_a_crowded_turn_falls_into_parts(spark):
-    table = spark.createDataFrame([(1, 3, "ann", str(i)) for i in range(50)], "conv_id long, turn long, role string, text string")
-    found = perspectives.perspectives(table, most=8).collect()
-    assert sum(x.n_turns for x in found) == 50 and len(found) > 4
+    table = spark.createDataFrame([(1, 3, "ann", f"{i:03d}") for i in range(50)] + [(1, 4, "bob", "y" * 50_000), (2, 0, "ann", "z")], "conv_id long, turn long, role string, text string")
+    found = perspectives.perspectives(table, most=8).where("conv_id = 1 and speaker = 'ann'").orderBy("block", "part").collect()
+    assert sum(x.n_turns for x in found) == 51 and len(found) == 7
+    assert re.findall(r"\n(\d{3})<", "".join(x.text for x in found)) == [f"{i:03d}" for i in range(50)] and "y" * 50_000 in found[-1].text
 
 
 # sentence spans
@@ -82,10 +83,43 @@ def test_repeated_passages_go_once(spark):
     assert spans.remove_repeated_spans(empty(spark)).count() == 0
 
 
+def test_repeated_spans_equal_brute_force(spark):
+    r = random.Random(31)
+    docs = [(d, t) for d, t, *_ in rows()] + [(700 + k, t) for k, t in enumerate(["Two parts. Of one text."] * 4)]
+    run = [f"w{r.randrange(10**5)}" for _ in range(56)]
+    docs += [(800 + k, " ".join([*(f"v{r.randrange(10**5)}" for _ in range(7 * k + 30)), *run, *(f"u{r.randrange(10**5)}" for _ in range(40))])) for k in range(6)]
+    table = spark.createDataFrame([(d, t, 9, 8) for d, t in docs], "doc_id long, text string, n_units int, fp int")
+    out = spans.remove_repeated_spans(table)
+    assert out.columns == ["doc_id", "text", "fp", "n_units", "n_removed"]
+    held, first = [], {}
+    for d, t in docs:
+        raw, n = (t or "").encode(), 1 << 63 if d is None else d
+        starts, _, until = next(spans.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        cut = [*starts.tolist(), len(raw)]
+        names = [tuple(re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw[cut[i] : cut[u]]).split()) for i, u in enumerate(until.tolist())]
+        held.append((d, t, raw, n, cut, names, until.tolist()))
+        for name in names:
+            first[name] = min(n, first.get(name, n))
+    want = Counter()
+    for d, t, raw, n, cut, names, until in held:
+        gone, seen = set(), set()
+        for i, name in enumerate(names):
+            if first[name] < n or name in seen:
+                gone |= set(range(i, until[i]))
+            seen.add(name)
+        edge = [0, *cut[1:]] if len(cut) > 1 else cut
+        left = raw if not gone else b"".join(raw[edge[i] : edge[i + 1]] for i in range(len(cut) - 1) if i not in gone)
+        want[(d, None if t is None else left.decode(), len(cut) - 1, len(gone))] += 1
+    found = out.collect()
+    assert Counter((x.doc_id, x.text, x.n_units, x.n_removed) for x in found) == want
+    assert all(sum(w in run for w in x.text.split()) <= 20 for x in found if 801 <= (x.doc_id or 0) < 806)
+    assert [x.text for x in sorted((x for x in found if 700 <= (x.doc_id or 0) < 704), key=lambda x: x.doc_id)] == ["Two parts. Of one text.", "", "", ""]
+
+
 def test_spans_follow_the_rule():
-    text = b"a b c d. e f g h. i j k l. m n. o p q r s t u v w x y z a1 b1 c1 d1 e1 f1 g1 h1"
+    text = b"a b c d. e f g h. i j k l. m n. o p q r s t"
     starts, keys, until = next(spans.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
-    assert [text[a:].split()[0] for a in starts] == [b"a", b"e", b"i", b"m", b"o", b"e1"] and len(keys) == 4 and until.tolist() == [3, 5, 5, 6]  # from e on, three units have ten words only
+    assert [text[a:].split()[0] for a in starts] == [b"a", b"e", b"i", b"m", b"o"] and len(keys) == 3 and until.tolist() == [3, 5, 5]  # from e on, three units have ten words only
 
 
 # personal data
