@@ -2,7 +2,8 @@
 
 The patterns find e-mail addresses, IP addresses, payment cards and
 international phone numbers. The field adds spans that no pattern covers:
-national phone numbers, social security numbers and bank accounts. It is trained
+national phone numbers, social security numbers, bank accounts and quoted secrets; a span
+that hasn't the form of its kind (``plausible``) is dropped. It is trained
 by gradient ascent on the likelihood of a small labelled table, over features of word shapes:
 a token's runs of digits and letters, its neighbours' shapes, and cue words.
 Tokens are runs of other characters than the six ASCII blanks; one without a digit is outside any span,
@@ -10,7 +11,7 @@ by definition of the model, so a text's best path falls apart at such tokens
 and Viterbi runs, in numpy batches, over the runs of tokens with digits; the result is the
 best path of the whole text.
 
-Offsets are code points, ends exclusive. Nulls: a null text is empty and has no
+Offsets are code points, ends exclusive; bytes that aren't UTF-8 count as replacement characters. Nulls: a null text is empty and has no
 spans; ids are carried as they are. Texts are scanned whole, in linear time.
 Repeated rows give repeated results, empty tables none; other columns are ignored.
 """
@@ -30,10 +31,10 @@ from ._common import small_batches, table
 from ._words import slices, words
 
 BASE = ("email", "ip", "card", "phone")
-FOUND = ("national", "ssn", "iban")
+FOUND = ("national", "ssn", "iban", "secret")
 KINDS = BASE + FOUND
 LABELS = ("O", *[f"{p}-{k}" for k in FOUND for p in "BI"])
-CUES = frozenset(b"phone tel call fax mobile cell ssn social security iban account id no number".split())
+CUES = frozenset(b"phone tel call fax mobile cell ssn social security iban account id no number = token key secret password".split())
 SLOTS = 9
 ROUNDS = 60
 
@@ -118,23 +119,27 @@ def labelled_table(n: int = 300, seed: int = 3) -> list[tuple[list[bytes], list[
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     letters = lambda k: "".join(r.choice("abcdefghilmnoprstu") for _ in range(k))
+    hexes = lambda k: "".join(r.sample([d(1), r.choice("abcdef"), *(r.choice("0123456789abcdef") for _ in range(k - 2))], k))
     national = lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}){d(3)}-{d(4)}"])
     ssn = lambda: f"{d(3)}-{d(2)}-{d(4)}"
     iban = lambda: r.choice([f"{r.choice(['DE', 'FR', 'ES', 'GB', 'NL'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"{r.choice(['DE', 'FR', 'ES', 'NL'])}{d(18)}"])
     other = [
         lambda: f"{r.randint(1900, 2030)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(1)}", lambda: d(r.randint(1, 9)),
         lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"{letters(4)}{d(2)}", lambda: f"{letters(6)}.{d(2)}@mail{d(1)}.example.com", lambda: f"{d(2)}.{d(3)}.{d(2)}.{d(3)}", lambda: f"{d(3)}-{d(2)}",
+        lambda: f'"{letters(5)}{d(2)}"', lambda: f'"{d(4)}"', lambda: hexes(12), lambda: f"= {d(3)}", lambda: f'= "{letters(3)} {d(2)}"',
         lambda: d(16), lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(2)}%", lambda: f"{d(3)} {d(3)}", lambda: f"{letters(1).upper()}{d(4)}-{d(4)}", lambda: f"{d(4)}-{d(4)}", lambda: f"({d(4)})",
     ]
-    makers = {"national": national, "ssn": ssn, "iban": iban}
-    cue = {"national": ["call", "phone:", "tel", "at", "of"], "ssn": ["ssn", "SSN:", "security", "the"], "iban": ["IBAN", "account", "to"]}
+    secret = lambda: f'"{hexes(r.choice([20, 24, 32, 40]))}"' + r.choice(["", "", "", "###", ";", "%%"])
+    makers = {"national": national, "ssn": ssn, "iban": iban, "secret": secret}
+    cue = {"national": ["call", "phone:", "tel", "at", "of"], "ssn": ["ssn", "SSN:", "security", "the"], "iban": ["IBAN", "account", "to"], "secret": ["token =", "key =", "secret =", "password ="]}
     out = []
     for _ in range(n):
         tokens, tags = [], []
         for _ in range(r.randint(1, 2)):
             kind = r.choice([*FOUND, None, None, None])
-            tokens.append(r.choice(cue[kind]) if kind and r.random() < 0.6 else letters(r.randint(2, 8)))
-            tags.append("O")
+            ahead = r.choice(cue[kind]).split(" ") if kind and (kind == "secret" or r.random() < 0.6) else [letters(r.randint(2, 8))]
+            tokens += ahead
+            tags += ["O"] * len(ahead)
             piece = (makers[kind] if kind else r.choice(other))().split(" ")
             if r.random() < 0.3:
                 piece[-1] += r.choice(".,;)")
@@ -286,6 +291,30 @@ def field_spans(field: Field, data: np.ndarray, bounds: np.ndarray) -> list[list
     return out
 
 
+_PLAUSIBLE = {
+    "national": re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}"),
+    "ssn": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"),
+    "secret": re.compile(r"(?=.*[A-Za-z])[A-Za-z0-9_+/.=-]{16,}"),
+}
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span that the field found has its kind's form; bank accounts also need right check digits."""
+    if not _PLAUSIBLE[kind].fullmatch(text):
+        return False
+    bare = text.replace(" ", "")
+    return kind != "iban" or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def checked(text: str, spans: list[tuple[int, int, int]]):
+    """The field's spans, each as far as the first quote inside, that have their kind's form."""
+    for a, k, b in spans:
+        own = re.split("[\"'`]", text[a:b])[0]
+        if plausible(KINDS[k], own):
+            yield a, k, a + len(own)
+
+
 def told(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -298,11 +327,11 @@ def _find(shared):
                 rows = []
                 for r, more in enumerate(field_spans(field, data, bounds)):
                     raw = data[bounds[r] : bounds[r + 1]].tobytes()
-                    text = raw.decode()
+                    text = raw.decode(errors="replace")
                     base = base_spans(text)
                     every = base
                     if more:
-                        more = [(len(raw[:a].decode()), k, len(raw[:b].decode())) for a, k, b in more]
+                        more = list(checked(text, [(len(raw[:a].decode(errors="replace")), k, len(raw[:b].decode(errors="replace"))) for a, k, b in more]))
                         every = sorted(base + [x for x in more if not any(x[0] < b and a < x[2] for a, _, b in base)])
                     rows.append((*[sum(x[1] == k for x in base) for k in range(len(BASE))], told(base), told(every)))
                 kinds = [pa.int64()] * len(BASE) + [pa.string()] * 2

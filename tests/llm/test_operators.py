@@ -170,11 +170,52 @@ def test_runs_give_the_best_path_of_the_whole():
         assert len(personal_data.field_spans(field, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]) == begun
 
 
+HELD_OUT = [  # written by hand: text, spans that the field has to find
+    ("Please ring (212) 555-0147 before noon.", ["(212) 555-0147"]),
+    ("My cell is 646-555-0199, the office 646.555.0110.", ["646-555-0199", "646.555.0110"]),
+    ("SSN: 219-09-9999 is on file, order 219-09 is not.", ["219-09-9999"]),
+    ("Pay to DE89 3704 0044 0532 0130 00 by Friday", ["DE89 3704 0044 0532 0130 00"]),
+    ("account NL91ABNA0417164300 closed in 2019", ["NL91ABNA0417164300"]),
+    ('export token = "0f3a9c2e7b1d4856aa90ce3371bd22f4" now', ["0f3a9c2e7b1d4856aa90ce3371bd22f4"]),
+    ('key = "9d1f0be2c4a67788d3e5"; 4 more', ["9d1f0be2c4a67788d3e5"]),
+    ("On 2024-05-17 at 10:45 we sold 1,200 of item A4-7781.", []),
+    ("Version 3.12.4 costs $49.99, see page 212 of 555.", []),
+    ("Server 10.20.30.40 and mail x1@mail2.example.com", []),
+    ("DE89 3704 0044 0532 0130 01 has wrong check digits", []),
+    ("digest 0f3a9c2e7b1d4856aa90ce3371bd22f4 of the file", []),
+]
+
+
+def test_field_on_sentences_written_by_hand(spark):
+    table = spark.createDataFrame(list(enumerate(t for t, _ in HELD_OUT)), "doc_id long, text string")
+    got, right, wanted = 0, 0, 0
+    for x in personal_data.find_personal_data(table).collect():
+        text, want = HELD_OUT[x.doc_id]
+        found = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k in personal_data.FOUND]
+        got, right, wanted = got + len(found), right + len(set(found) & set(want)), wanted + len(want)
+    assert right >= 0.9 * got and right >= 0.85 * wanted, (got, right, wanted)
+
+
+def test_planted_secrets_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {(x.doc_id, m[1]) for x in docs.collect() for m in re.finditer(r'token = "([0-9a-f]+)"', x.text or "")}
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    found = set()
+    for x in personal_data.find_personal_data(docs).collect():
+        found |= {(x.doc_id, texts[x.doc_id][int(a) : int(b)]) for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k in personal_data.FOUND}
+    assert len(want) >= 10 and len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found), (len(found), len(want), len(found & want))
+
+
 def test_personal_data_of_awkward_texts(spark):
-    table = spark.createDataFrame([(1, "ü a@b.co, SSN 078-05-1120 and 1.2.3.4", 0), (2, None, 0), (None, "", 0)], "doc_id long, text string, base int")
-    found = {x.doc_id: x for x in personal_data.find_personal_data(table).collect()}
+    long = "q" * 200_000 + " SSN 078-05-1120"
+    rows = [(1, "ü a@b.co, SSN 078-05-1120 and 1.2.3.4", 0), (2, None, 0), (None, "", 0), (3, long, 0), (3, long, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, base int")
+    every = personal_data.find_personal_data(table).collect()
+    found = {x.doc_id: x for x in every}
     assert found[1].base == "email:2:8,ip:30:37" and found[1].spans == "email:2:8,ssn:14:25,ip:30:37"
-    assert found[2].spans == "" and found[None].n_email == 0
+    assert found[2].spans == "" and found[None].n_email == 0 and len(every) == 5 and found[3].spans == "ssn:200005:200016"
+    broken = spark.sql("SELECT 9L AS doc_id, cast(unhex('61FF20612E62403C20612E6240632E64') AS string) AS text")
+    assert personal_data.find_personal_data(broken).first().n_email == 1
     assert personal_data.find_personal_data(table.limit(0)).count() == 0
 
 
