@@ -23,6 +23,11 @@ def newest(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).offset(offset).limit(limit)
 
 
+def by_id(jobs: DataFrame, job_id) -> DataFrame:
+    """The job of an id: a filter that reaches the scan."""
+    return jobs.where(F.col("job_id") == F.lit(job_id))
+
+
 def listed(jobs: DataFrame) -> DataFrame:
     """Summary columns; the result only of failed jobs, counts only of finished ones."""
     done = F.col("status") == "done"

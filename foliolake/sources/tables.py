@@ -28,3 +28,15 @@ def clear_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def replace_page(jobs: DataFrame, number: int, page: str) -> DataFrame:
     """``jobs`` with the page of that number replaced by the column ``page`` in the nested result."""
     return jobs.withColumn("pages", F.transform("pages", lambda p: F.when(p.page == number, F.col(page)).otherwise(p)))
+
+
+def new_masters(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """sha256, path, length of ``files`` (path, content) whose bytes ``stored`` lacks, once each: what a manifest gains; stored bytes are never written again."""
+    found = files.select(F.sha2("content", 256).alias("sha256"), "path", F.length("content").cast("long").alias("length"))
+    once = found.groupBy("sha256").agg(F.min(F.struct("path", "length")).alias("f")).select("sha256", "f.*")
+    return once.join(stored.select("sha256"), "sha256", "left_anti")
+
+
+def submitted(uploads: DataFrame) -> DataFrame:
+    """New rows of the job table: pending, without a result."""
+    return uploads.withColumn("status", F.lit("pending")).withColumn("result_json", F.lit(None).cast("string"))
