@@ -104,38 +104,44 @@ def content_box(gray: np.ndarray, dark: int = 60, share: float = 0.97, most: flo
     return (0, 0, len(columns), len(rows)) if whole else (left, top, right, bottom)
 
 
-def wrap(text: str, size: float, room: float, width: Callable[[str, float], float]) -> list[str]:
-    """Words filled greedily into lines of ``room``; a word wider than that has a line of its own."""
-    rows: list[str] = []
-    for word in text.split():
-        if rows and width(f"{rows[-1]} {word}", size) <= room:
-            rows[-1] += f" {word}"
+def wrap(words: list[str], ems: list[float], size: float, room: float, blank: float) -> list[tuple[str, float]]:
+    """Words, whose widths are ``ems`` at size 1, filled greedily into (line, its width) of ``room``; a word wider than that has a line of its own."""
+    rows: list[tuple[list[str], float]] = []
+    for word, em in zip(words, ems):
+        if rows and (longer := rows[-1][1] + (blank + em) * size) <= room:
+            rows[-1][0].append(word)
+            rows[-1] = (rows[-1][0], longer)
         else:
-            rows.append(word)
-    return rows
+            rows.append(([word], em * size))
+    return [(" ".join(own), wide) for own, wide in rows]
 
 
-def fit(bodies: list[str], room: float, height: float, width: Callable[[str, float], float], leading: Callable[[float], float]) -> tuple[float, list[str]]:
+def fit(bodies: list[str], room: float, height: float, width: Callable[[str], float], leading: Callable[[float], float]) -> tuple[float, list[str]]:
     """The largest size from ``LEAST_SIZE`` to ``TEXT_SIZE`` at which the wrapped lines fit, and those lines; the least size if none does.
 
-    Found by halving in twelve steps, then cut to a quarter point if that fits too.
+    Found by halving in twelve steps, then cut to a quarter point if that fits too. ``width`` is a word's at size 1, measured once.
     """
+    words = [body.split() for body in bodies]
+    ems, blank = [[width(w) for w in own] for own in words], width(" ")
 
     def set_at(size: float) -> tuple[bool, list[str]]:
-        rows = [row for body in bodies for row in wrap(body, size, room, width) or [""]]
+        rows = [row for own, em in zip(words, ems) for row in wrap(own, em, size, room, blank) or [("", 0.0)]]
         needed = (1 + DESCENDER) * size + (len(rows) - 1) * leading(size)
-        return needed <= height and all(width(row, size) <= room + 0.01 for row in rows), rows
-
-    if set_at(TEXT_SIZE)[0] or not set_at(LEAST_SIZE)[0]:
-        best = TEXT_SIZE if set_at(TEXT_SIZE)[0] else LEAST_SIZE
-        return best, set_at(best)[1]
+        return needed <= height and all(wide <= room + 0.01 for _, wide in rows), [row for row, _ in rows]
+
+    good, rows = set_at(TEXT_SIZE)
+    if good:
+        return TEXT_SIZE, rows
+    good, rows = set_at(LEAST_SIZE)
+    if not good:
+        return LEAST_SIZE, rows
     low, high = LEAST_SIZE, TEXT_SIZE
     for _ in range(12):
         middle = (low + high) / 2
         low, high = (middle, high) if set_at(middle)[0] else (low, middle)
-    quarter = max(LEAST_SIZE, np.floor(low * 4) / 4)
-    best = quarter if set_at(quarter)[0] else low
-    return float(best), set_at(best)[1]
+    quarter = max(LEAST_SIZE, float(np.floor(low * 4) / 4))
+    good, rows = set_at(quarter)
+    return (quarter, rows) if good else (low, set_at(low)[1])
 
 
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
@@ -174,7 +180,7 @@ def text_layout(room: float, height: float, advance: float = 0.5, spacing: float
     """An Arrow function from a page's lines to size and rows; widths are ``advance`` of the size for each character, combining marks aside."""
     from unicodedata import combining
 
-    width = lambda text, size: advance * size * sum(not combining(c) for c in text)
+    width = lambda word: advance * sum(not combining(c) for c in word)
 
     @F.pandas_udf(T.StructType([T.StructField("size", T.DoubleType()), T.StructField("rows", T.ArrayType(T.StringType()))]))
     def run(pages: pd.Series) -> pd.DataFrame:

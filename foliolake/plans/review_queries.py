@@ -294,13 +294,13 @@ def substring_highlights(spark, d):
     return lines(spark, d).select("doc_id", "page", "seq", script.highlight(F.col("body"), " The").alias("snippet")).where("snippet is not null")
 
 
-@query("SELECT p_partkey, p_name AS text, '0-' || length(a) || ' ' || (length(a) + length(b) + 2) || '-' || (length(a) + length(b) + 2 + length(c)) AS ranges FROM (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, array_to_string(string_split(p_name, ' ')[3:], ' ') AS c FROM part) WHERE length(c) > 0")
+@query("SELECT conv_id, turn, text, '0-' || length(a) || ' ' || (length(a) + length(b) + 2) || '-' || length(text) AS ranges FROM (SELECT conv_id, turn, text, string_split(text, ' ') AS x, x[1] AS a, x[2] AS b FROM conversations) WHERE len(x) > 2 AND length(a) > 0")
 def highlight_ranges(spark, d):
     """Marked ranges of snippets; the last mark isn't closed."""
-    words = F.split("p_name", " ")
-    raw = F.concat(F.lit("<mark>"), F.get(words, 0), F.lit("</mark> "), F.get(words, 1), F.lit(" <mark>"), F.array_join(F.slice(words, 3, 100), " "))
-    found = table(spark, d, "part").where(F.size(words) > 2).select("p_partkey", script.ranges(raw).alias("r"))
-    return found.select("p_partkey", "r.text", F.array_join(F.transform("r.ranges", lambda x: F.concat_ws("-", x.cast("array<string>"))), " ").alias("ranges"))
+    words = F.split("text", " ")
+    raw = F.concat(F.lit("<mark>"), F.get(words, 0), F.lit("</mark> "), F.get(words, 1), F.lit(" <mark>"), F.array_join(F.slice(words, 3, 1 << 20), " "))
+    found = table(spark, d, "conversations").where((F.size(words) > 2) & (F.get(words, 0) != "")).select("conv_id", "turn", script.ranges(raw).alias("r"))
+    return found.select("conv_id", "turn", "r.text", F.array_join(F.transform("r.ranges", lambda x: F.concat_ws("-", x.cast("array<string>"))), " ").alias("ranges"))
 
 
 @query("SELECT p_partkey, p_type AS reading, p_type || '|-' || p_type AS candidates FROM part")
