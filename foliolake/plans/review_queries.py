@@ -92,7 +92,7 @@ def batch_targets(spark, d):
 def corrections_in_order(spark, d):
     """The listing by numbers, and the saved map's order by letters."""
     found = batch.listed(saved(spark, d)).withColumnRenamed("at", "shown_at")
-    return batch.listed(found, by_number=False).select("doc_id", "page", "seq", "place", "shown_at", F.col("at").alias("saved_at"))
+    return batch.listed(found, by_number=False).select("doc_id", "page", "seq", "place", F.col("shown_at").cast("long").alias("shown_at"), F.col("at").cast("long").alias("saved_at"))
 
 
 ATTACHED = (
