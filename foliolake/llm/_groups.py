@@ -70,7 +70,7 @@ def within(percent: int, width: int):
     return near
 
 
-def link(groups: DataFrame, verify, near, maps=None, then=None) -> DataFrame:
+def link(groups: DataFrame, verify, near, maps=None, then=None, shared=None) -> DataFrame:
     """Components (node, component) of the documents of ``groups`` (key, doc, fact) under ``verify``.
 
     ``verify`` takes pairs a, b and gives those that are links; ``near`` takes two facts and says whether a pair can be one.
@@ -79,7 +79,8 @@ def link(groups: DataFrame, verify, near, maps=None, then=None) -> DataFrame:
     members of least rank in two orders, unless both lie in one component already; links found make components. Rounds
     go on, with other centres, while groups that hold several components stand for very many pairs. Then the pairs of a group
     that still lie in different components are compared, as far as their facts let them be links. No pair inside a known
-    component is formed, no pair that could join two is left out.
+    component is formed, no pair that could join two is left out. ``shared`` gives the least key that two facts share, so that
+    a pair of several groups is made in one of them.
     """
     spark = groups.sparkSession
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -117,7 +118,10 @@ def link(groups: DataFrame, verify, near, maps=None, then=None) -> DataFrame:
     else:
         now, then = now.withColumn("wide", F.lit(0)), lambda x, y: F.lit(True)
     one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "fact", "wide", "component")]) for i in (1, 2))
-    rest = one.join(other, "key").where((F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2")) & then(F.col("wide1"), F.col("wide2"))).select(*ends("doc1", "doc2")).distinct()
+    can = (F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2")) & then(F.col("wide1"), F.col("wide2"))
+    if shared:
+        can = can & (F.col("key") == shared(F.col("fact1"), F.col("fact2")))
+    rest = one.join(other, "key").where(can).select(*ends("doc1", "doc2")).distinct()
     rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "pairs-rest")
     sweep(spark)
     more = stage(verify(rest), "links-more")

@@ -11,7 +11,7 @@ links gives components; each keeps one line, that of the least document, in it t
 Documents are told apart by doc_id and a hash of the text, null ids last; rows that agree in both are one document and
 keep the same lines. Null texts have no lines and stay null. Band groups are reduced by partial minimums and linked through
 centres, so one very common line or a large group of similar ones costs in proportion to its size. Long lines
-are whole: a candidate line takes about 50 bytes a character of a task's memory. Empty tables give
+are whole: the shingle hashes of a line, worked out once, take about 50 bytes a character of a task's memory. Empty tables give
 empty results; other columns stay as they are, n_lines and n_removed of the input are replaced.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import few, let, release, stage, sweep, table
+from ._common import let, release, stage, sweep, table
 from ._groups import link, parity, within
 
 SHINGLE = 5
@@ -74,10 +74,10 @@ def alike(x: F.Column, y: F.Column) -> F.Column:
     return 100 * F.size(F.array_intersect(x, y)) >= SHARED * F.least(F.size(x), F.size(y))
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc, fp, pos, h, g (two hashes) and signature (low) of every line that isn't blank."""
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """doc, fp, pos, line, h, g (two hashes) of every line that isn't blank."""
     lines = docs.select(*_id(docs), F.posexplode(_split("text")).alias("pos", "line")).select("doc", "fp", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return lines.select("doc", "fp", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), signature(F.col("line")).alias("low"))
+    return lines.select("doc", "fp", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def shingle_hashes(line: F.Column) -> F.Column:
@@ -95,41 +95,36 @@ def _reach(x: F.Column, y: F.Column) -> F.Column:
 def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc, fp, pos, h of every line; distinct lines h with their first place; components of their h)."""
     spark = docs.sparkSession
-    lines = stage(signed_lines(docs), "lines-signed")
-    heads = stage(lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("low").alias("low")), "line-heads")
-    places = stage(lines.select("doc", "fp", "pos", "h"), "line-places")
-    release(lines)
+    lines = placed_lines(docs)
+    whole = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "fp", "pos")).alias("first"), F.first("line").alias("line"))
+    signed = stage(whole.select("h", "first", "line", signature(F.col("line")).alias("low")), "lines-signed")
     sweep(spark)
-    posted = lambda: heads.select(F.col("h").alias("doc"), F.explode(bands(F.col("low"))).alias("key"))
+    posted = lambda: signed.select(F.col("h").alias("doc"), F.explode(bands(F.col("low"))).alias("key"))
     keys = stage(posted().groupBy("key").count().where("count > 1").select("key"), "line-keys")
     sweep(spark)
-    groups = stage(posted().join(keys, "key").join(heads.select(F.col("h").alias("doc"), F.col("low").alias("fact")), "doc"), "line-groups")
+    groups = stage(posted().join(keys, "key").join(signed.select(F.col("h").alias("doc"), F.col("low").alias("fact")), "doc"), "line-groups")
     release(keys)
+    grouped = groups.select(F.col("doc").alias("h")).distinct()
+    sets = stage(signed.select("h", "line").join(grouped, "h").select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s")), "line-shingles")
+    heads = stage(signed.select("h", "first"), "line-heads")
+    release(signed)
     sweep(spark)
 
-    def lines_of(some: DataFrame) -> DataFrame:
-        """h, line of the lines ``some`` (h)."""
-        asked = heads.select("h", "first").join(some, "h").select("h", "first.*")
-        asked = stage(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "h")).alias("own")), "lines-asked")
-        own = docs.select(*_id(docs), "text").join(few(asked, 1 << 18), ["doc", "fp"])
-        line = lambda every: F.transform("own", lambda p: F.struct(p.h.alias("h"), _trimmed(F.get(every, p.pos)).alias("line")))
-        # rows that repeat an id and a text give a line twice
-        return stage(own.select(F.explode(let(_split("text"), line)).alias("x")).select("x.*").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
-
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = lines_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        similar = let(F.struct(shingle_hashes(F.col("x")).alias("x"), shingle_hashes(F.col("y")).alias("y")), lambda s: _reach(s.x, s.y))
-        return both.where(similar).select("a", "b")
+        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("s").alias("y")), "b")
+        return both.where(_reach(F.col("x"), F.col("y"))).select("a", "b")
 
     def maps(some: DataFrame) -> DataFrame:
-        hashes = lines_of(some.select(F.col("doc").alias("h"))).select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s"))
-        found = hashes.select("doc", F.explode("s").alias("x")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), *parity(F.col("x"), WIDTH))
+        hashes = sets.join(some.select("doc"), "doc").select("doc", F.explode("s").alias("x"))
+        found = hashes.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), *parity(F.col("x"), WIDTH))
         return some.join(found.select("doc", F.struct("n", *[f"b{k}" for k in range(WIDTH)]).alias("wide")), "doc")
 
     sizes = lambda x, y: 100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])
     mapped = within(PERCENT, WIDTH)
-    return places, heads.select("h", "first"), link(groups, verify, alike, maps, lambda x, y: sizes(x, y) & mapped(x, y))
+    shared = lambda x, y: F.array_min(F.array_intersect(bands(x), bands(y)))
+    found = link(groups, verify, alike, maps, lambda x, y: sizes(x, y) & mapped(x, y), shared)
+    release(sets, groups)
+    return lines.select("doc", "fp", "pos", "h"), heads, found
 
 
 def remove_fuzzy_lines(docs: DataFrame) -> DataFrame:
