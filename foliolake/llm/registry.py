@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fuzzy_lines, mixing, ngram_join, personal_data, perspectives, quality, sharding, spans, suffixes
+from . import audit, decontamination, fuzzy_lines, grace, mixing, negatives, ngram_join, personal_data, perspectives, quality, sharding, spans, suffixes
 
 QUERIES = {
     "op1_perspective_rotation": perspectives.op1_perspective_rotation,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_robust_quality": quality.op8_robust_quality,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_suffix_lpf": suffixes.op10_suffix_lpf,
+    "op11_vector_negatives": negatives.op11_vector_negatives,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_grace_dedup": grace.op13_grace_dedup,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op4_mix_sources": mixing.ORACLE,
     "op5_extendible_shards": sharding.ORACLE,
     "op9_ngram_jaccard": ngram_join.ORACLE,
+    "op11_vector_negatives": negatives.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
+    "op13_grace_dedup": grace.ORACLE,
 }
