@@ -1,23 +1,10 @@
-"""Boxes and colours of the editor, bands of tall or wide pages, text that fits a page, and word-processor files."""
+"""Boxes and colours of the editor, and the content of scanned pages."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Callable
-from xml.sax.saxutils import escape
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Bands of pages of extreme aspect, sizes of printed text in points.
-MOST_BANDS, WIDE_BANDS, TALL_ASPECT = 8, 4, 1.0
-BAND_OVERLAP, LEAST_OVERLAP = 0.15, 4
-LEAST_SIZE, TEXT_SIZE, DESCENDER = 5.0, 13.0, 0.3
-NO_TEXT, EMPTY = "(no text)", "No text was recognized in this document."
 
 
 def heat_colour(damage: Column, alpha: float) -> Column:
@@ -35,51 +22,6 @@ def word_crop(line_y: Column, line_h: Column, word_x: Column, word_w: Column, wo
     return F.struct(inside(word_x + word_w / 2, wide, page_w).alias("x"), inside(line_y + line_h / 2, tall, page_h).alias("y"), wide.alias("w"), tall.alias("h"))
 
 
-def cut_points(most: int, parts: int) -> list[int]:
-    """``parts`` + 1 whole places that deal 0..most evenly; halves go to the even neighbour."""
-    return [int(x) for x in np.rint(np.linspace(0, most, parts + 1))]
-
-
-def grouped(cores: list[tuple[int, int]], most: int = MOST_BANDS) -> list[tuple[int, int]]:
-    """Neighbouring cores joined into ``most`` groups of about equal number."""
-    if len(cores) <= most:
-        return cores
-    places = cut_points(len(cores), most)
-    return [(cores[a][0], cores[b - 1][1]) for a, b in zip(places, places[1:]) if b > a]
-
-
-def quietest(profile: np.ndarray, start: int, end: int) -> int:
-    """The middle of the emptiest rows between two lines."""
-    if end <= start:
-        return start
-    gap = profile[start:end]
-    empty = start + np.flatnonzero(np.isclose(gap, gap.min(), rtol=0, atol=1e-9))
-    return int(empty[0] + empty[-1]) // 2
-
-
-def bands(height: int, width: int, lines: list[tuple[int, int]], profile: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Bands (core start, core end, start, end) of a page of extreme aspect; cores cover it, bands overlap.
-
-    Cores end at the emptiest row between two lines of text; on tall pages they are joined while no taller than the page is
-    wide. Pages without two lines are cut evenly. There are at most ``MOST_BANDS``.
-    """
-    tall, square = height > width, max(1, int(width * TALL_ASPECT))
-    if len(lines) < 2:
-        places = cut_points(height, max(1, -(-height // square)) if tall else WIDE_BANDS)
-    else:
-        places = [0, *(quietest(profile, above[1], below[0]) for above, below in zip(lines, lines[1:])), height]
-        if tall:
-            kept = [0]
-            for here, following in zip(places[1:], [*places[2:], None]):
-                if following is None or following - kept[-1] > square:
-                    kept.append(here)
-            places = kept
-    cores = grouped([(a, b) for a, b in zip(places, places[1:]) if b > a or len(lines) >= 2])
-    middle = sorted(b - a for a, b in cores)[len(cores) // 2]
-    over = max(LEAST_OVERLAP, round(BAND_OVERLAP * middle))
-    return [(a, b, max(0, a - over), min(height, b + over)) for a, b in cores]
-
-
 def even_boxes(height: int, width: int, found: list[tuple[int, int]], n: int) -> list[list[int]]:
     """Boxes for ``n`` lines of text: the found ones if as many, else even parts of the inked height, or of the page if nothing was found."""
     if len(found) == n:
@@ -102,104 +44,3 @@ def content_box(gray: np.ndarray, dark: int = 60, share: float = 0.97, most: flo
     left, right = trim(columns), len(columns) - trim(columns[::-1])
     whole = right - left < len(columns) * least or bottom - top < len(rows) * least
     return (0, 0, len(columns), len(rows)) if whole else (left, top, right, bottom)
-
-
-def wrap(words: list[str], ems: list[float], size: float, room: float, blank: float) -> list[tuple[str, float]]:
-    """Words, whose widths are ``ems`` at size 1, filled greedily into (line, its width) of ``room``; a word wider than that has a line of its own."""
-    rows: list[tuple[list[str], float]] = []
-    for word, em in zip(words, ems):
-        if rows and (longer := rows[-1][1] + (blank + em) * size) <= room:
-            rows[-1][0].append(word)
-            rows[-1] = (rows[-1][0], longer)
-        else:
-            rows.append(([word], em * size))
-    return [(" ".join(own), wide) for own, wide in rows]
-
-
-def fit(bodies: list[str], room: float, height: float, width: Callable[[str], float], leading: Callable[[float], float]) -> tuple[float, list[str]]:
-    """The largest size from ``LEAST_SIZE`` to ``TEXT_SIZE`` at which the wrapped lines fit, and those lines; the least size if none does.
-
-    Found by halving in twelve steps, then cut to a quarter point if that fits too. ``width`` is a word's at size 1, measured once.
-    """
-    words = [body.split() for body in bodies]
-    ems, blank = [[width(w) for w in own] for own in words], width(" ")
-
-    def set_at(size: float) -> tuple[bool, list[str]]:
-        rows = [row for own, em in zip(words, ems) for row in wrap(own, em, size, room, blank) or [("", 0.0)]]
-        needed = (1 + DESCENDER) * size + (len(rows) - 1) * leading(size)
-        return needed <= height and all(wide <= room + 0.01 for _, wide in rows), [row for row, _ in rows]
-
-    good, rows = set_at(TEXT_SIZE)
-    if good:
-        return TEXT_SIZE, rows
-    good, rows = set_at(LEAST_SIZE)
-    if not good:
-        return LEAST_SIZE, rows
-    low, high = LEAST_SIZE, TEXT_SIZE
-    for _ in range(12):
-        middle = (low + high) / 2
-        low, high = (middle, high) if set_at(middle)[0] else (low, middle)
-    quarter = max(LEAST_SIZE, float(np.floor(low * 4) / 4))
-    good, rows = set_at(quarter)
-    return (quarter, rows) if good else (low, set_at(low)[1])
-
-
-_TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
-_RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>'
-
-
-def paragraphs(pages: list[tuple[int, list[str]]]) -> list[tuple[str, bool]]:
-    """The paragraphs (text, whether a heading) of a document: headings where there are several pages, a note where there is no text."""
-    if len(pages) < 2:
-        return [(body, False) for _, bodies in pages for body in bodies] or [(EMPTY, False)]
-    return [x for number, bodies in sorted(pages, key=lambda p: p[0]) for x in [(f"Page {number}", True), *((b, False) for b in (bodies or [NO_TEXT]))]]
-
-
-def docx(pages: list[tuple[int, list[str]]], title: str = "", digest: str | None = None) -> bytes:
-    """A word-processor file of the pages' lines, its properties the title and the master's digest; the same input gives the same bytes."""
-    clean = lambda t: escape("".join(c for c in t if c in "\t\n" or " " <= c not in "\ufffe\uffff"))
-    style = {True: '<w:pPr><w:outlineLvl w:val="0"/></w:pPr>', False: ""}
-    rows = "".join(f'<w:p>{style[head]}<w:r><w:t xml:space="preserve">{clean(text)}</w:t></w:r></w:p>' for text, head in paragraphs(pages))
-    body = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{rows}</w:body></w:document>'
-    words = f"<cp:keywords>master-sha256:{clean(digest)}</cp:keywords>" if digest else ""
-    core = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{clean(title)}</dc:title>{words}</cp:coreProperties>'
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELATIONS), ("word/document.xml", body), ("docProps/core.xml", core)):
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text)
-    return held.getvalue()
-
-
-@F.pandas_udf(T.BinaryType())
-def docx_file(pages: pd.Series, title: pd.Series, digest: pd.Series) -> pd.Series:
-    """``pages``: array of struct(page, bodies)."""
-    return pd.Series([docx([(p["page"], list(p["bodies"])) for p in own], t or "", d) for own, t, d in zip(pages, title, digest)])
-
-
-def text_layout(room: float, height: float, advance: float = 0.5, spacing: float = 1.4):
-    """An Arrow function from a page's lines to size and rows; widths are ``advance`` of the size for each character, combining marks aside."""
-    from unicodedata import combining
-
-    width = lambda word: advance * sum(not combining(c) for c in word)
-
-    @F.pandas_udf(T.StructType([T.StructField("size", T.DoubleType()), T.StructField("rows", T.ArrayType(T.StringType()))]))
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit(list(bodies), room, height, width, lambda s: spacing * s) for bodies in pages], columns=["size", "rows"])
-
-    return run
-
-
-_BANDS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("core0", "core1", "y0", "y1")]))
-
-
-@F.pandas_udf(_BANDS)
-def page_bands(pixels: pd.Series, width: pd.Series) -> pd.Series:
-    """Bands of grey pages given as bytes, row by row."""
-    from .udfs import ink_runs, otsu
-
-    out = []
-    for raw, w in zip(pixels, width):
-        gray = np.frombuffer(raw, np.uint8).reshape(-1, int(w))
-        profile = (gray <= otsu(gray)).mean(axis=1)
-        out.append([dict(zip(("core0", "core1", "y0", "y1"), b)) for b in bands(*gray.shape, ink_runs(profile), profile)])
-    return pd.Series(out)

@@ -352,34 +352,3 @@ def box_confidence(spark, d):
     blocks = rows.select(F.col("l_orderkey").alias("page_num"), box("l_partkey").alias("coordinates"), F.col("l_linenumber").alias("reading_order"), F.struct("l_partkey", "l_suppkey").alias("block_id"), F.col("l_discount").alias("confidence"))
     own = rows.select(F.col("l_orderkey").alias("page_num"), "l_linenumber", "l_partkey", box("l_suppkey").alias("coordinates"))
     return layout.block_confidence(own, blocks).select("page_num", "l_linenumber", "l_partkey", "confidence")
-
-
-def _bodies(spark, d):
-    plain = lines(spark, d).withColumn("confidence", F.lit(1.0)).withColumn("needs_review", F.lit(False))
-    return export.bodies(pages.build_pages(plain))
-
-
-@query()
-def docx_export(spark, d):
-    """K9: word-processor files of documents."""
-    own = F.array_sort(F.collect_list(F.struct("page", "bodies")))
-    docs = _bodies(spark, d).groupBy("doc_id").agg(own.alias("pages"))
-    name = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", drawing.docx_file("pages", name, F.sha2(name, 256)).alias("file"))
-
-
-@query()
-def text_fitting(spark, d):
-    """The size at which a page's text fits, and its rows."""
-    fitted = _bodies(spark, d).select("doc_id", "page", drawing.text_layout(480.0, 700.0)("bodies").alias("f"))
-    return fitted.select("doc_id", "page", "f.size", F.size("f.rows").alias("n_rows"), F.array_join("f.rows", "\n").alias("text"))
-
-
-@query()
-def band_plans(spark, d):
-    """Bands of drawn pages, wide ones and tall ones, of as many lines as a part's size says."""
-    wide = F.when(F.col("p_partkey") % 2 == 0, 400).otherwise(20)
-    line = F.concat(F.repeat(F.lit("FF"), 5 * wide), F.repeat(F.lit("00"), 3 * wide))
-    pixels = F.unhex(F.concat(F.repeat(line, F.col("p_size")), F.repeat(F.lit("FF"), 4 * wide)))
-    found = table(spark, d, "part").select("p_partkey", "p_size", drawing.page_bands(pixels, wide).alias("b"))
-    return found.select("p_partkey", "p_size", F.posexplode("b").alias("band", "b")).select("p_partkey", "p_size", "band", "b.*")

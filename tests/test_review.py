@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import random
-import zipfile
-from xml.etree import ElementTree
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from foliolake.functions import drawing, script
@@ -54,35 +50,6 @@ def test_clusters_are_never_cut():
         assert all(b == len(text) or text[b] not in "ா்" for _, b in found) and all(a == 0 or text[a] not in "ா்" for a, _ in found)
 
 
-@pytest.mark.parametrize("size", [(80, 400), (400, 60), (50, 500), (900, 100)])
-def test_bands_cover_the_page(size):
-    height, width = size
-    rng = random.Random(height)
-    lines = []
-    at = 4
-    while at + 14 < height and rng.random() < 0.97:
-        lines.append((at, at + 8))
-        at += 8 + rng.randint(3, 6)
-    profile = np.zeros(height)
-    for a, b in lines:
-        profile[a:b] = 0.5
-    found = drawing.bands(height, width, lines, profile)
-    assert 1 <= len(found) <= drawing.MOST_BANDS
-    assert found[0][0] == 0 and found[-1][1] == height and all(x[1] == y[0] for x, y in zip(found, found[1:]))
-    assert all(y0 <= a < b <= y1 and y0 >= 0 and y1 <= height for a, b, y0, y1 in found)
-    ends = [b for _, b, _, _ in found[:-1]]
-    if len(lines) > 1:
-        assert all(not (a < e < b) for e in ends for a, b in lines)
-        assert height <= width or len(found) <= len(lines)
-
-
-def test_bands_without_lines_and_of_blank_rows():
-    assert [b[:2] for b in drawing.bands(100, 400, [], np.zeros(100))] == [(0, 25), (25, 50), (50, 75), (75, 100)]
-    assert [b[:2] for b in drawing.bands(250, 100, [], np.zeros(250))] == [(0, 83), (83, 167), (167, 250)]
-    assert drawing.quietest(np.array([1, 0.2, 0, 0, 0, 0.2, 1]), 0, 7) == 3
-    assert drawing.grouped([(k, k + 1) for k in range(9)], 4) == [(0, 2), (2, 4), (4, 7), (7, 9)]
-
-
 def test_even_boxes():
     assert drawing.even_boxes(100, 50, [(10, 20), (30, 45)], 2) == [[0, 10, 50, 10], [0, 30, 50, 15]]
     assert drawing.even_boxes(100, 50, [(10, 20), (30, 50)], 4) == [[0, 10, 50, 10], [0, 20, 50, 10], [0, 30, 50, 10], [0, 40, 50, 10]]
@@ -102,46 +69,6 @@ def test_gray():
     assert to_gray(colours).tolist() == [[76, 150, 29, 90]] and to_gray(colours[..., 0]).tolist() == [[255, 0, 0, 90]]
 
 
-def test_text_fits_at_the_largest_size():
-    width = lambda text: 0.5 * len(text)
-    leading = lambda size: 1.4 * size
-    rng = random.Random(1)
-    for _ in range(60):
-        bodies = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 40))]
-        room, height = rng.randint(100, 500), rng.randint(60, 700)
-        size, rows = drawing.fit(bodies, room, height, width, leading)
-
-        def fits(s):
-            lines = []
-            for body in bodies:
-                line = ""
-                for word in body.split():
-                    if line and 0.5 * s * len(f"{line} {word}") > room:
-                        lines.append(line)
-                        line = word
-                    else:
-                        line = f"{line} {word}".strip()
-                lines.append(line)
-            return 1.3 * s + 1.4 * s * (len(lines) - 1) <= height and all(0.5 * s * len(x) <= room + 0.01 for x in lines)
-
-        assert " ".join(rows).split() == " ".join(bodies).split()
-        quarters = [s for s in np.arange(5, 13.01, 0.25) if fits(s)]
-        assert size == (max(quarters) if quarters else 5.0)
-
-
-def test_word_file_holds_the_lines():
-    raw = drawing.docx([(2, []), (1, ["a <b>", "கால் & \x01"])], "t & u", "ab12")
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        tree = ElementTree.fromstring(z.read("word/document.xml"))
-        core = z.read("docProps/core.xml").decode()
-        ElementTree.fromstring(z.read("[Content_Types].xml"))
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    assert ["".join(t.text or "" for t in p.iter(f"{space}t")) for p in tree.iter(f"{space}p")] == ["Page 1", "a <b>", "கால் & ", "Page 2", drawing.NO_TEXT]
-    assert "master-sha256:ab12" in core and "t &amp; u" in core
-    assert drawing.paragraphs([(1, [])]) == [(drawing.EMPTY, False)] == drawing.paragraphs([])
-    assert raw == drawing.docx([(2, []), (1, ["a <b>", "கால் & \x01"])], "t & u", "ab12")
-
-
 def test_attach_keeps_ties_in_order_and_caps(spark):
     words = spark.createDataFrame([(1, 1, 1, 1, "w", None, None), (1, 1, 1, 2, "v", "p ", "T3"), (1, 1, 1, 3, "u", None, None)], "doc_id int, page int, seq int, place int, word string, pending string, tier string")
     many = [(f"c{k}", 0.5, "s") for k in range(12)] + [(" ", 0.9, "s"), (None, 0.8, "s"), ("w", 1.0, "s"), ("best", 0.7, "s"), ("none", None, "s")]
