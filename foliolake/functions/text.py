@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from dataclasses import dataclass
 
@@ -168,21 +169,60 @@ def route(confidence: Column) -> Column:
     return F.when(confidence.isNull() | (confidence < 0.5), "REVIEW").when(confidence < 0.8, "FLAG").otherwise("KEEP")
 
 
-def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended whose decomposition starts with an ASCII letter, and those letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+# Combining marks that vanish inside a word; all other marks separate words.
+ACCENTS = (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)
+# Letters of today's standard that were vowel and tone marks in the one by which a search index splits.
+FORMER_MARKS = (*range(0x19B0, 0x19C1), 0x19C8, 0x19C9)
+
+
+def _folded(c: str) -> str:
+    """A character as a search index has it: of simple case folding, an ASCII letter without its single accent."""
+    if len(c) > 1 or unicodedata.category(c)[0] not in "LN":
+        return c
+    f = c.casefold() if len(c.casefold()) == 1 else c.lower()
+    f = f if len(f) == 1 else c
+    parts = unicodedata.normalize("NFD", f)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and unicodedata.category(parts[1]) == "Mn" else f
+
+
+@functools.cache
+def _folds() -> tuple[str, str]:
+    """What lower case leaves to be mapped: characters and their folds, then those that vanish."""
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] == "L"]
+    pairs = [(c, _folded(c)) for c in letters if _folded(c) != c and _folded(c.lower()) != c.lower()]
+    pairs += [(c, _folded(c)) for c in letters if _folded(c) != c and c.lower() == c and (c, _folded(c)) not in pairs]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, ACCENTS)), "".join(b for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, as a search index has it."""
-    return F.translate(F.lower(text), *_accents())
+    """Lower case without accents, as a search index has it; plain ASCII, which is most text, isn't looked up character by character."""
+    low = F.lower(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(low, *_folds())).otherwise(low)
+
+
+# code points that the standard at hand doesn't know belong to words too
+_TOKEN = r"[^\p{M}\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}\p{Cs}\x{19B0}-\x{19C0}\x{19C8}\x{19C9}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters, digits and private-use characters; all else separates, combining signs too."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    """Runs of letters, digits, private-use and unassigned characters; all else separates, signs above and below letters of other scripts too."""
+    return F.regexp_extract_all(fold(text), F.lit(_TOKEN), F.lit(0))
+
+
+def plain_tokens(text: str) -> list[str]:
+    """As :func:`tokens`, of a short text in the driver, such as a query."""
+    out, own = [], ""
+    for c in text.lower():
+        c = _folded(c)
+        if ord(c) in ACCENTS:
+            continue
+        kind = unicodedata.category(c)
+        if (kind[0] in "LN" or kind in ("Co", "Cn")) and ord(c) not in FORMER_MARKS:
+            own += c
+        elif own:
+            out.append(own)
+            own = ""
+    return [*out, own] if own else out
 
 
 def safe_error(message: Column, secret: Column | None = None) -> Column:

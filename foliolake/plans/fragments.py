@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import overlay, search
 from ..operators import pages as P
 
 BLANKS = r"\x09-\x0D\x1C-\x20\x{85}\p{Z}"
@@ -112,3 +116,25 @@ def log(events: DataFrame) -> DataFrame:
     """Events as a log of accepts and skips."""
     kind = F.when(F.col("event_type").isin("purchase", "click", "signup"), "accept").otherwise("skip")
     return events.select("event_id", "ts", kind.alias("kind"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("before"), F.col("event_type").alias("after"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without the setting a temporary one, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of the final lines of all documents; a session writes it once for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+        final = overlay.apply(lines(spark, sf_dir), corrections(spark, sf_dir))
+        search.write(final.select("doc_id", "page", "seq", F.col("final_body").alias("body")), path)
+        _indexes[key] = path
+    return search.open_index(spark, _indexes[key])

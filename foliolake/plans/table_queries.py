@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,7 +12,7 @@ from ..functions import text as X
 from ..functions.udfs import character_edits, similarity, word_edits
 from ..operators import dictionary, export, jobs, layout, pages, review
 from ..streaming import feeds
-from .fragments import DICTIONARY, JOBS, LINES, WORDS, lines, log, table
+from .fragments import DICTIONARY, JOBS, LINES, WORDS, lines, log, scratch, table
 from .fragments import jobs as job_table
 
 QUERIES: dict = {}
@@ -309,18 +308,10 @@ def pending_elsewhere(spark, d):
 @query(f"WITH {DICTIONARY} SELECT before, accepts, skips FROM dict")
 def dictionary_fold_stream(spark, d):
     """R2 as a stream: the log read in micro-batches, state merged by word; replays change nothing."""
-    return feeds.folded_log(spark, d, f"{_scratch(spark)}/fold-{uuid.uuid4().hex}")
+    return feeds.folded_log(spark, d, f"{scratch(spark)}/fold-{uuid.uuid4().hex}")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL")
 def event_windows_stream(spark, d):
     """Windowed counts with a watermark."""
-    return feeds.windowed_counts(spark, d, f"{_scratch(spark)}/windows-{uuid.uuid4().hex}")
-
-
-def _scratch(spark) -> str:
-    """The folder that driver and executors share; without the setting a temporary one, on one machine only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+    return feeds.windowed_counts(spark, d, f"{scratch(spark)}/windows-{uuid.uuid4().hex}")

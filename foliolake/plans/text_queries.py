@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.udfs import nfc
 from ..operators import export, filtering, overlay, pages, review, search
-from .fragments import BLANKS, CORRECTIONS, LINES, SCORED, SIGNALS, WORDS, corrections, lines, scored, strip_sql, table
+from .fragments import BLANKS, CORRECTIONS, LINES, SCORED, SIGNALS, WORDS, corrections, index, lines, scored, strip_sql, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -184,15 +184,15 @@ def receipt_lines(spark, d):
     return review.receipt_text(receipt_totals(spark, d)).select("doc_id", "text")
 
 
-TOKENS = LINES + rf""",
-idx AS (SELECT doc_id, page, seq, {strip_sql("body")} AS body, regexp_extract_all(strip_accents(lower({strip_sql("body")})), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS tokens FROM lines),
+TOKENS = CORRECTIONS + rf""",
+idx AS (SELECT doc_id, page, seq, {strip_sql("final_body")} AS body, regexp_extract_all(strip_accents(lower({strip_sql("final_body")})), '[\p{{L}}\p{{N}}\p{{Co}}]+') AS tokens FROM final),
 index AS (SELECT * FROM idx WHERE body <> '')"""
 
 
 @query(f"WITH {TOKENS}, t AS (SELECT doc_id, page, seq, UNNEST(tokens) AS term FROM index) SELECT term, COUNT(*) AS occurrences, COUNT(DISTINCT (doc_id, page, seq)) AS n_lines FROM t GROUP BY term")
 def postings_terms(spark, d):
     """terms with their lines and occurrences."""
-    p = search.postings(search.index_lines(lines(spark, d)))
+    p = index(spark, d).postings
     return p.groupBy("term").agg(F.sum(F.size("positions")).alias("occurrences"), F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -208,19 +208,19 @@ r AS (SELECT doc_id, page, seq, body, round(0.0 - GREATEST(1e-6, ln((n - d0 + 0.
 @query(f"WITH {RANKED} SELECT doc_id, page, seq, score, body FROM r ORDER BY score, doc_id, page, seq LIMIT 20")
 def search_bm25_topk(spark, d):
     """The best lines for a word and a phrase."""
-    return search.search(search.index_lines(lines(spark, d)), " ".join(PHRASES))
+    return search.search(index(spark, d), " ".join(PHRASES))
 
 
 @query(f"WITH {RANKED} SELECT COUNT(*) AS total FROM r")
 def search_count(spark, d):
     """A2: matches of the query."""
-    return search.matches(search.index_lines(lines(spark, d)), " ".join(PHRASES)).agg(F.count(F.lit(1)).alias("total"))
+    return search.matches(index(spark, d), " ".join(PHRASES)).agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(f"WITH {RANKED} SELECT r.doc_id, page, seq, score, source, lang FROM r JOIN documents USING (doc_id)")
 def search_join_jobs(spark, d):
     """Ranked hits with their documents."""
-    hits = search.ranked(search.index_lines(lines(spark, d)), " ".join(PHRASES)).select("doc_id", "page", "seq", "score")
+    hits = search.ranked(index(spark, d), " ".join(PHRASES)).select("doc_id", "page", "seq", "score")
     return hits.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
 
 
@@ -228,7 +228,7 @@ def search_join_jobs(spark, d):
 def search_snippets(spark, d):
     """the best lines with marked snippets."""
     query = " ".join(PHRASES)
-    return search.with_snippets(search.search(search.index_lines(lines(spark, d)), query), query).select("doc_id", "page", "seq", "snippet")
+    return search.with_snippets(search.search(index(spark, d), query), query).select("doc_id", "page", "seq", "snippet")
 
 
 @query(f"WITH {LINES}, w AS (SELECT doc_id, page, seq, {WORDS} AS x FROM lines) SELECT doc_id, page, seq, UNNEST(x) AS word, generate_subscripts(x, 1)::INTEGER AS place FROM w")
