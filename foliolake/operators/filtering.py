@@ -30,9 +30,14 @@ def clean(lines: DataFrame, order: list[str]) -> DataFrame:
 
 
 def totals(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Per document: lines dropped, sentences removed, lines kept."""
-    dropped = lines.groupBy("doc_id").agg(F.count_if("dropped").alias("dropped"))
-    repeats = sentences(lines, order).groupBy("doc_id").agg(F.count_if("again").alias("repeats"))
-    kept = clean(lines, order).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return dropped.join(repeats, "doc_id", "left").join(kept, "doc_id", "left").select("doc_id", "dropped", zero("repeats"), zero("kept"))
+    """Per document: lines dropped, sentences removed, lines kept.
+
+    One pass: each line's sentences, or one row without a sentence for a line that is dropped, are numbered by document and sentence, then
+    gathered by line and by document. A line is kept if a sentence with text stays in it.
+    """
+    split = F.posexplode_outer(F.when(~F.col("dropped"), X.sentences(F.col("body")))).alias("at", "sentence")
+    each = lines.select("doc_id", *order, "dropped", split).select("doc_id", *order, "dropped", "at", X.strip(F.col("sentence")).alias("key"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(*order, "at")) == 1
+    told = each.select("doc_id", *order, "dropped", (F.coalesce(F.col("key") != "", F.lit(False))).alias("text"), first.alias("first"))
+    own = told.groupBy("doc_id", *order).agg(F.max("dropped").alias("dropped"), F.count_if(F.col("text") & ~F.col("first")).alias("again"), F.max(F.col("text") & F.col("first")).alias("kept"))
+    return own.groupBy("doc_id").agg(F.count_if("dropped").alias("dropped"), F.sum("again").alias("repeats"), F.count_if("kept").alias("kept"))

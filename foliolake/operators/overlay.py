@@ -20,9 +20,11 @@ def apply(lines: DataFrame, corrections: DataFrame) -> DataFrame:
 
     A correction counts if its word place exists and holds ``before`` (null: any word). A line without one
     keeps its body to the letter; others are their words joined by single blanks. One join per line, no
-    row per word: a line's corrections travel as one map.
+    row per word: a line's corrections travel as one list, in which the last saved of each word holds; they are shuffled once, by line.
     """
-    by_line = latest(corrections).groupBy(*KEY).agg(F.collect_list(F.struct("word", "before", "after")).alias("_own"))
+    saved = F.array_sort(F.collect_list(F.struct("word", "pos", "before", "after")))
+    last = F.filter("_own", lambda c, i: (i == F.size("_own") - 1) | (F.get("_own", i + 1).word != c.word))
+    by_line = corrections.groupBy(*KEY).agg(saved.alias("_own")).select(*KEY, F.transform(last, lambda c: F.struct(c.word, c.before, c.after)).alias("_own"))
     joined = lines.join(by_line, list(KEY), "left").withColumn("_words", X.words("body"))
     good = F.filter("_own", lambda c: (c.word >= 1) & (c.word <= F.size("_words")) & (c.before.isNull() | (c.before == F.get("_words", c.word - 1))))
     joined = joined.withColumn("applied", F.coalesce(F.array_sort(good), F.array().cast("array<struct<word:int,before:string,after:string>>")))

@@ -42,10 +42,9 @@ def enrich(pages: DataFrame, script: X.Script) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt to twice as many tasks as there are cores, if its files are fewer than the cores: scans split no row group."""
+    """``docs`` dealt to twice as many tasks as there are cores, if its scan has fewer tasks than the cluster has cores: scans split no row group."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    files = docs.inputFiles()
-    return docs.repartition(2 * cores, F.xxhash64("doc_id")) if 0 < len(files) < cores else docs
+    return docs.repartition(2 * cores, F.xxhash64("doc_id")) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def document_lines(docs: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
