@@ -305,10 +305,18 @@ def pending_elsewhere(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {DICTIONARY} SELECT before, accepts, skips FROM dict")
+@query(f"WITH {DICTIONARY} SELECT before, after, accepts, skips, updated_at FROM dict")
 def dictionary_fold_stream(spark, d):
-    """R2 as a stream: the log read in micro-batches, state merged by word; replays change nothing."""
-    return feeds.folded_log(spark, d, f"{scratch(spark)}/fold-{uuid.uuid4().hex}")
+    """R1, R2, R8 as a stream: words with their state, events once each in any order; a table with one row a word."""
+    found = feeds.folded_log(spark, d, f"{scratch(spark)}/fold-{uuid.uuid4().hex}")
+    return found.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("WITH j AS (SELECT user_id AS job_id, COALESCE(arg_max(CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'done' ELSE 'error' END, (ts, event_id)) FILTER (event_type IN ('signup', 'purchase', 'error')), 'pending') AS status, COUNT(*) FILTER (event_type = 'click') AS pages_done, MAX(ts) AS updated_at FROM events GROUP BY user_id) SELECT job_id, CASE WHEN status = 'pending' AND updated_at + INTERVAL 2 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events) THEN 'lost' ELSE status END AS status, pages_done, updated_at FROM j")
+def job_status_stream(spark, d):
+    """The status of jobs and the pages done, with a timer for those that nothing is heard of."""
+    found = feeds.job_feed(spark, d, f"{scratch(spark)}/jobs-{uuid.uuid4().hex}")
+    return found.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, COUNT(*) AS n FROM events GROUP BY ALL")

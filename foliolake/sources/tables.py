@@ -21,6 +21,18 @@ def replace_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
+def upsert(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Put ``rows`` in place of the stored ones of their keys, in a table of ``buckets`` folders; only folders that hold one of the keys are written.
+
+    Doing it again with the same rows changes nothing.
+    """
+    fresh = rows.withColumn("bucket", bucketed(key, buckets))
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if touched:
+        stored = rows.sparkSession.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched))
+        replace_partitions(replace_rows(stored, fresh, key), path, "bucket")
+
+
 def clear_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 

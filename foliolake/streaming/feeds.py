@@ -1,10 +1,12 @@
-"""Streams over the event log: the dictionary fold and windowed counts."""
+"""Streams over the event log: the dictionary, the status of jobs and windowed counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import review
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -14,20 +16,18 @@ def events(spark: SparkSession, sf_dir: str, batch_files: int = 16) -> DataFrame
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def folded_log(spark: SparkSession, sf_dir: str, path: str, late: str = "400 days") -> DataFrame:
-    """Accepts and skips by word. Event ids count once while they lie within ``late`` of the newest event, whatever batch brings them again; each
-    micro-batch is aggregated and written under its own number, so a batch that runs again replaces itself.
-    """
+def folded_log(spark: SparkSession, sf_dir: str, path: str, late_seconds: int = 7 * 86400) -> DataFrame:
+    """The dictionary as a stream: the log folded by word."""
     kind = F.when(F.col("event_type").isin("purchase", "click", "signup"), "accept").otherwise("skip")
-    log = events(spark, sf_dir).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", kind.alias("kind"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("before"))
+    log = events(spark, sf_dir).select("event_id", "ts", kind.alias("kind"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("before"), F.col("event_type").alias("after"))
+    return review.words(log, path, late_seconds)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        part = batch.groupBy("before").agg(F.count_if(F.col("kind") == "accept").alias("accepts"), F.count_if(F.col("kind") == "skip").alias("skips"))
-        part.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
 
-    stream = log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{path}/state").groupBy("before").agg(F.sum("accepts").alias("accepts"), F.sum("skips").alias("skips"))
+def job_feed(spark: SparkSession, sf_dir: str, path: str, late_seconds: int = 3600, patience_seconds: int = 2 * 86400) -> DataFrame:
+    """Users as jobs: signups submit them, clicks are pages done, purchases finish them."""
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error")
+    feed = events(spark, sf_dir).select("event_id", "ts", F.col("user_id").alias("job_id"), status.alias("status"), (F.col("event_type") == "click").cast("int").alias("pages"))
+    return review.jobs(feed, path, late_seconds, patience_seconds)
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str, path: str, width: str = "1 day", late: str = "400 days") -> DataFrame:
