@@ -5,10 +5,8 @@ Everything is read by Spark's own readers, so paths may lie in any store they kn
 
 from __future__ import annotations
 
-import io
 import re
 import struct
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,37 +65,6 @@ def probed(files: DataFrame) -> DataFrame:
     return files.mapInArrow(_probe, T.StructType([*files.schema.fields, T.StructField("pages", T.IntegerType())]))
 
 
-def _members(batches):
-    for b in batches:
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            rows = []
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        hidden = any(p.startswith((".", "__MACOSX")) for p in info.filename.split("/"))
-                        if not info.is_dir():
-                            locked = bool(info.flag_bits & 1)
-                            rows.append((path, info.filename, hidden, locked, None if hidden or locked else z.read(info)))
-            except zipfile.BadZipFile:
-                rows.append((path, None, False, False, None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary()))], ["path", "member", "hidden", "locked", "content"])
-
-
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, hidden, locked, content of every file in the archives; a broken archive is one row without a member."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_members, "path string, member string, hidden boolean, locked boolean, content binary")
-
-
-def archived_images(members: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """The images of archives by the numbers in their names, ``most`` per archive as an upload allows, with their place."""
-    from pyspark.sql import Window
-
-    images = members.where(F.lower("member").rlike(r"\.(png|jpe?g|tiff?)$") & ~F.col("hidden") & ~F.col("locked"))
-    return images.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(X.natural_key(F.col("member"))))).where(F.col("place") <= most)
-
-
 def kind(member: Column) -> Column:
     """Where an archive's member is kept."""
     name = F.lower(member)
