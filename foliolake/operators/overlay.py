@@ -34,6 +34,15 @@ def apply(lines: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.withColumn("final_body", F.when(F.size("applied") > 0, final).otherwise(F.col("body"))).drop("_own", "_words", "_change")
 
 
+def first_match(words: DataFrame, corrections: DataFrame, group: str) -> DataFrame:
+    """``words`` (word) with after: that of the first correction (by ``pos``) of their ``group`` whose ``before`` is the word; null without one.
+
+    Corrections are reduced to one for each group and word before they meet the words.
+    """
+    first = corrections.groupBy(group, F.col("before").alias("word")).agg(F.min_by("after", "pos").alias("after"))
+    return words.join(first, [group, "word"], "left")
+
+
 def final_texts(overlaid: DataFrame) -> DataFrame:
     """Per page the final text."""
     own = F.array_sort(F.collect_list(F.struct("seq", "final_body")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import page_queries, review_queries, table_queries, text_queries
+from . import page_queries, review_queries, script_queries, table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **review_queries.QUERIES, **page_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **review_queries.ORACLES, **page_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **review_queries.QUERIES, **page_queries.QUERIES, **script_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **review_queries.ORACLES, **page_queries.ORACLES, **script_queries.ORACLES}

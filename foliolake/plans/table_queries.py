@@ -193,10 +193,17 @@ def resize_cap(spark, d):
     return table(spark, d, "part").select("p_partkey", box["w"].alias("w"), box["h"].alias("h"))
 
 
-@query("SELECT p_partkey, (p_size * 2 + 10)::INTEGER AS x, 25 AS y, 20 AS w, 15 AS h FROM part")
+MAPPED = """WITH p AS (SELECT p_partkey, radians(p_size % 31 - 15) AS a, 1 + p_size % 3 * 0.5::DOUBLE AS s, p_size * 4.0::DOUBLE AS x, 10.0::DOUBLE + p_partkey % 90 AS y FROM part),
+c AS (SELECT p_partkey, UNNEST([x, x + 40, x, x + 40]) / s - 50 AS u, UNNEST([y, y, y + 30, y + 30]) / s - 60 AS v, a FROM p),
+t AS (SELECT p_partkey, round(MIN(u * cos(a) - v * sin(a)) + 50 + 10)::INTEGER AS x, round(MIN(u * sin(a) + v * cos(a)) + 60 + 20)::INTEGER AS y, round(MAX(u * cos(a) - v * sin(a)) + 50 + 10)::INTEGER AS x1, round(MAX(u * sin(a) + v * cos(a)) + 60 + 20)::INTEGER AS y1 FROM c GROUP BY p_partkey)
+SELECT p_partkey, x, y, GREATEST(1, x1 - x) AS w, GREATEST(1, y1 - y) AS h FROM t"""
+
+
+@query(MAPPED)
 def page_mapping(spark, d):
-    """Boxes of a prepared image back on the page."""
-    box = G.to_page(F.col("p_size") * 4, F.lit(10), F.lit(40), F.lit(30), F.lit(2.0), F.lit(0.0), F.lit(50.0), F.lit(50.0), F.lit(10), F.lit(20))
+    """Boxes of a prepared image, scaled and turned by up to 15 degrees either way, back on the page."""
+    size, scale, angle = F.col("p_size"), 1 + F.col("p_size") % 3 * 0.5, (F.col("p_size") % 31 - 15).cast("double")
+    box = G.to_page(size * 4.0, 10.0 + F.col("p_partkey") % 90, F.lit(40), F.lit(30), scale, angle, F.lit(50.0), F.lit(60.0), F.lit(10), F.lit(20))
     return table(spark, d, "part").select("p_partkey", box["x"].alias("x"), box["y"].alias("y"), box["w"].alias("w"), box["h"].alias("h"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as X
-from foliolake.functions.udfs import edit_operations, ink_runs, page_metrics, skew_angle, snippet_of
+from foliolake.functions.udfs import edit_operations, snippet_of
 from foliolake.operators import dictionary, export, filtering, jobs, layout, overlay, pages, review, search
 
 LINE = "நாளை காலை மழை பெயயும்"
@@ -102,16 +101,6 @@ def test_edit_operations():
     assert edit_operations("ab", "") == (0, 2, 0)
 
 
-def test_image_metrics_tell_clean_from_faded():
-    page = np.full((100, 100), 250, np.uint8)
-    page[20:28, 10:90] = page[50:58, 10:90] = page[80:88, 10:90] = 10
-    sharp = page_metrics(page)
-    faded = page_metrics((200 - (250 - page.astype(int)) // 10).astype(np.uint8))
-    assert sharp[0] > faded[0] and sharp[1] > 0.9 > faded[1]
-    assert ink_runs((page < 128).mean(axis=1)) == [(20, 28), (50, 58), (80, 88)]
-    assert skew_angle(page) == 0.0
-
-
 def test_edit_operations_prefer_substitutions_then_deletions():
     import random
 
