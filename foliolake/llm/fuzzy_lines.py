@@ -3,7 +3,8 @@
 Lines are compared lower-cased and trimmed; blank ones stay. Equal lines, of any length, collapse first, by two 64-bit
 hashes. A line's signature is its ``KEPT`` least hashes (a bottom-k MinHash) over character shingles of up to ``SIGNED``
 characters, those that follow no ASCII letter, digit or underscore (so words begin some, and every character of other
-scripts one): one rule for every line, chosen by content alone. A band is a run of ``ROWS`` neighbours in the sorted signature; signatures of at most ``TINY`` hashes also have the
+scripts one), and of up to ``SHINGLE`` characters, those that follow ``INNER`` such characters or more (so long words, names of files, digests and addresses have
+many): one rule for every line, chosen by content alone. A band is a run of ``ROWS`` neighbours in the sorted signature; signatures of at most ``TINY`` hashes also have the
 runs of two, so that one odd shingle never hides them. Lines that agree in a band, and in ``SHARED`` percent of the smaller
 signature, are candidates, verified by the exact Jaccard similarity of their sets of ``SHINGLE``-character shingles, at least ``PERCENT``. Union-find over the
 links gives components; each keeps one line, that of the least document, in it the first place, and all its other places go.
@@ -25,6 +26,7 @@ from ._groups import link, parity, within
 
 SHINGLE = 5
 SIGNED = 8
+INNER = 8
 PERCENT = 80
 KEPT = 12
 ROWS = 3
@@ -52,7 +54,8 @@ def _trimmed(line) -> F.Column:
 
 def signature(line: F.Column) -> F.Column:
     """The least hashes of a line's shingles, sorted."""
-    shingles = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\w)(?=(\S.{{0,{SIGNED - 1}}}))"), F.lit(1))
+    starts = rf"(?s)(?=((?<!\w)\S.{{0,{SIGNED - 1}}}|(?<=\w{{{INNER}}})\S.{{0,{SHINGLE - 1}}}))"
+    shingles = F.regexp_extract_all(line, F.lit(starts), F.lit(1))
     return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))), 1, KEPT)
 
 

@@ -402,6 +402,29 @@ def test_links_of_lines_against_brute_force(spark):
     assert all(apart.get(n) is not None for n in place) and len({(c, apart[n]) for n, c in place.items()}) == len(set(place.values()))
 
 
+def test_links_of_lines_of_few_long_words(spark):
+    """Addresses, digests and compound words: one character changed, left out or put in."""
+    r = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789_"
+    pairs = {}
+    for n, size in ((1, 60), (2, 30), (3, 20), (1, 40), (4, 15), (1, 120)):
+        lines = []
+        for _ in range(900 if size == 40 else 300):
+            line = " ".join("".join(r.choice(letters) for _ in range(size)) for _ in range(n))
+            k, kind = r.randrange(1, len(line) - 1), r.randrange(3)
+            lines += [line, line[:k] + ("" if kind == 0 else "!" if kind == 1 else "q" + line[k]) + line[k + 1 :]]
+        pairs[n, size] = brute_fuzzy(list(enumerate(lines)))[1]
+        assert len(pairs[n, size]) >= 100, (n, size)
+    every = sorted({t for links in pairs.values() for link in links for t in link})
+    table = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    names = {x.text: x.h for x in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    *_, parts = fuzzy_lines.fuzzy_links(table)
+    place = {x.node: x.component for x in parts.collect()}
+    for size, links in pairs.items():
+        caught = sum(place.get(names[a], 0) == place.get(names[b], 1) for a, b in links)
+        assert caught >= 0.95 * len(links), (size, caught, len(links))
+
+
 # quality
 
 
