@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Script:
-    """Bodies of regular-expression classes: the script's block, dependent signs, consonants, and the vowel killer."""
+    """Bodies of regular-expression classes: the script's block, dependent signs, consonants, and the vowel killer; whether ASCII's letters are the script's."""
 
     block: str
     signs: str = ""
     consonants: str = ""
     virama: str = ""
+    ascii: bool = False
 
 
 # Ranges of the Unicode standard that results depend on.
 TAMIL = Script(r"\x{0B80}-\x{0BFF}", r"\x{0BBE}-\x{0BCC}\x{0BD7}", r"\x{0B95}-\x{0BB9}", r"\x{0BCD}")
-LATIN = Script(r"A-Za-z\x{00C0}-\x{024F}")
+LATIN = Script(r"A-Za-z\x{00C0}-\x{024F}", ascii=True)
 
 # Punctuation of printed text, joiners, and the constants of the line score.
 TYPOGRAPHIC = r"\x{2010}-\x{2015}\x{2018}\x{2019}\x{201C}\x{201D}\x{2022}\x{2026}\x{00AB}\x{00BB}\x{00B7}\x{00A0}"
@@ -36,6 +37,9 @@ LINE_FLOOR, PAGE_FLOOR = 0.80, 0.50
 STUB = "[stub]"
 
 SPACE = r"[\p{IsWhite_Space}\x{001C}-\x{001F}]"
+# the same classes within ASCII: those beyond it cost a call for each character, ten times as much
+PLAIN_SPACE = r"\x09-\x0D\x1C-\x20"
+PLAIN_SENTENCE = r"[^.!?]+[.!?]*"
 EDGES = rf"^{SPACE}+|{SPACE}+$"
 
 
@@ -44,21 +48,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def is_plain(text: Column) -> Column:
+    """Whether the text is ASCII."""
+    return F.octet_length(text) == F.length(text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"[^\p{IsWhite_Space}\x{001C}-\x{001F}]"), F.lit(True))
 
 
 def words(text: Column) -> Column:
     """The whitespace-separated words."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\p{{IsWhite_Space}}\x{{001C}}-\x{{001F}}]+"), F.lit(0))
+    every = F.regexp_extract_all(text, F.lit(rf"[^\p{{IsWhite_Space}}\x{{001C}}-\x{{001F}}]+"), F.lit(0))
+    return F.when(is_plain(text), F.regexp_extract_all(text, F.lit(rf"[^{PLAIN_SPACE}]+"), F.lit(0))).otherwise(every)
 
 
 def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    """The sentences with what ends them; texts without the ends of other scripts need the plain classes only."""
+    plain = F.regexp_extract_all(text, F.lit(PLAIN_SENTENCE), F.lit(0))
+    return F.when(text.contains("\u0964") | text.contains("\u0965"), F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))).otherwise(plain)
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -67,6 +79,11 @@ def count(text: Column, pattern: str) -> Column:
 
 def script_share(text: Column, script: Script) -> Column:
     """The script's letters among all letters; null without letters."""
+    plain = F.when(text.rlike("[A-Za-z]"), F.lit(1.0 if script.ascii else 0.0))
+    return F.when(is_plain(text), plain).otherwise(_share(text, script))
+
+
+def _share(text: Column, script: Script) -> Column:
     return F.try_divide(count(text, rf"[{script.block}&&\p{{L}}]").cast("double"), count(text, r"\p{L}"))
 
 
@@ -77,7 +94,7 @@ def has_script_letter(text: Column, script: Script) -> Column:
 def orphan_signs(text: Column, script: Script, with_virama: bool = True) -> Column:
     """Signs that follow neither a consonant nor a sign."""
     marks = script.signs + (script.virama if with_virama else "")
-    return count(text, rf"(?<![{script.consonants}{script.signs}])[{marks}]") if marks else F.lit(0)
+    return F.when(is_plain(text), F.lit(0)).otherwise(count(text, rf"(?<![{script.consonants}{script.signs}])[{marks}]")) if marks else F.lit(0)
 
 
 def orphan_columns(text: Column, script: Script, with_virama: bool = True) -> Column:
@@ -93,6 +110,10 @@ def orphan_columns(text: Column, script: Script, with_virama: bool = True) -> Co
 
 def odd_characters(text: Column, script: Script) -> Column:
     """Characters that have no place in print: unassigned ones of the block, controls, symbols, private use."""
+    return F.when(is_plain(text), count(text, r"[\x00-\x08\x0E-\x1B\x7F]")).otherwise(_odd(text, script))
+
+
+def _odd(text: Column, script: Script) -> Column:
     return count(text, rf"[^\x20-\x7E\p{{L}}\p{{IsWhite_Space}}\x{{001C}}-\x{{001F}}{JOINERS}{TYPOGRAPHIC}{script.block}]") + count(text, rf"[{script.block}&&\p{{Cn}}]")
 
 
@@ -102,15 +123,18 @@ def repeated_sentences(text: Column) -> Column:
 
 
 def repetition_loop(text: Column) -> Column:
-    """One word is more than half of four or more, three times at least. Such a word is the middle of the sorted words."""
+    """One word is more than half of four or more, three times at least. Such a word is the middle of the sorted words.
+
+    Then fewer than half of the words, and one, are different ones: only such lines are sorted.
+    """
 
     def most(own):
         n = F.size(own)
         middle = F.get(own, F.floor(n / 2).cast("int"))
-        top = let(F.size(F.filter(own, lambda w: w == middle)), lambda x: (x >= 3) & (2 * x > n))
-        return (n >= 4) & top
+        return let(F.size(F.filter(own, lambda w: w == middle)), lambda x: (x >= 3) & (2 * x > n))
 
-    return F.coalesce(let(F.array_sort(words(text)), most), F.lit(False))
+    may = lambda own: (F.size(own) >= 4) & (2 * F.size(F.array_distinct(own)) <= F.size(own) + 1)
+    return F.coalesce(let(words(text), lambda own: F.when(may(own), let(F.array_sort(own), most)).otherwise(False)), F.lit(False))
 
 
 def signals(text: Column, script: Script) -> Column:
@@ -121,7 +145,7 @@ def signals(text: Column, script: Script) -> Column:
         odd_characters(text, script).alias("odd"),
         repeated_sentences(text).alias("repeated"),
         repetition_loop(text).alias("loop"),
-        count(text, rf"[^\p{{IsWhite_Space}}\x{{001C}}-\x{{001F}}]").alias("visible"),
+        F.when(is_plain(text), F.length(text) - count(text, f"[{PLAIN_SPACE}]")).otherwise(count(text, rf"[^\p{{IsWhite_Space}}\x{{001C}}-\x{{001F}}]")).alias("visible"),
     )
 
 
