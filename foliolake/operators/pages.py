@@ -61,7 +61,8 @@ def document_lines(docs: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame
 
 def scored_lines(docs: DataFrame, script: X.Script) -> DataFrame:
     """The lines with confidence and needs_review."""
-    lines = document_lines(docs).withColumn("confidence", X.line_score(F.col("body"), script))
+    # a generator's output is worked out once, however many columns mention it
+    lines = document_lines(docs).select("*", F.explode(F.array(X.line_score(F.col("body"), script))).alias("confidence"))
     return lines.withColumn("needs_review", X.needs_review(F.col("body"), F.col("confidence")))
 
 
