@@ -3,8 +3,9 @@
 A document's key is a string of hash bits: 60 bits of its id's MD5, then, for
 ids that repeat, bits of id and text. The directory is the set of prefixes; a
 bucket splits on one more bit while it holds more bytes than a shard may, until
-it fits or holds one document. Bucket sizes are counted over prefix cells, a
-few dozen times as many as there are shards, never over documents; documents in cells
+it fits or holds one document. The directory grows from its root: at each depth only the cells
+of oversized buckets are looked at again, those of buckets that fit have left. Bucket sizes are counted over prefix cells, a
+few dozen times as many as there are shards, never over documents, and partial sums meet, not cells; documents in cells
 that are still too large go to another round over further bits.
 
 Nulls: a null id hashes as the empty string, a null text has 0 bytes. A single
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash60, stage, table
+from ._common import few, hash60, stage, table
 
 SHARD_BYTES = 1 << 20
 FINER = 5
@@ -37,17 +38,27 @@ def _bits(h: F.Column, n: int) -> F.Column:
 
 
 def directory(keys: DataFrame, limit: int, low: int, high: int) -> DataFrame:
-    """The buckets of depths low..high over ``keys`` (_bits, _n): cell (a prefix of ``high`` bits), depth, shard_bytes, shard_docs, fits.
+    """The buckets of depths low..high over ``keys`` (_bits, _n): cell (a prefix of ``high`` bits), depth, prefix, shard_bytes, shard_docs, fits.
 
     A cell's bucket is the shortest prefix of it that fits; where none does, the
     whole cell with ``fits`` false.
     """
-    cells = keys.groupBy(F.substring("_bits", 1, high).alias("cell")).agg(F.sum("_n").alias("b"), F.count(F.lit(1)).alias("n"))
-    nodes = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("prefix", F.expr("substring(cell, 1, depth)"))
-    sums = nodes.groupBy("prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-    sums = sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)).where(F.col("fits") | (F.length("prefix") == high))
-    best = nodes.select("cell", "prefix", "depth").join(sums.hint("merge"), "prefix")
-    return best.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs", "fits")).alias("x")).select("cell", "x.*")
+    left = stage(keys.groupBy(F.substring("_bits", 1, high).alias("cell")).agg(F.sum("_n").alias("b"), F.count(F.lit(1)).alias("n")), "shard-cells")
+    found = None
+    for depth in range(low, high + 1):
+        prefix = F.substring("cell", 1, depth).alias("prefix")
+        sums = left.groupBy(prefix).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
+        sums = stage(sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)).coalesce(64), "shard-buckets")
+        if depth < high and not sums.where("fits").limit(1).count():
+            continue
+        placed = left.select("cell", "b", "n", prefix).join(few(sums), "prefix")
+        done = (placed if depth == high else placed.where("fits")).select("cell", F.lit(depth).alias("depth"), "prefix", "shard_bytes", "shard_docs", "fits")
+        found = done if found is None else found.unionByName(done)
+        if depth < high:
+            if not sums.where("not fits").limit(1).count():
+                break
+            left = stage(placed.where("not fits").select("cell", "b", "n"), "shard-cells")
+    return found
 
 
 def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
