@@ -299,6 +299,8 @@ def test_leaks_and_paraphrases(spark):
     table = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     found = {(x.doc_id, x.item_id) for x in decontamination.leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert found <= want and len(found) >= 0.9 * len(want) and {(None, 0), (502, 99), (503, 0)} <= found
+    some = spark.createDataFrame([(None, 1, 5, 80), (None, 2, 5, 90), (None, 2, 6, 50), (7, 1, 5, 60), (7, 2, 5, 70)], "doc_id long, fp long, item_id long, lcs_percent long")
+    assert sorted(map(tuple, decontamination.by_document(some).collect()), key=str) == sorted([(None, 5, 80), (None, 5, 90), (None, 6, 50), (7, 5, 70)], key=str)
     assert decontamination.leaks(table.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontamination.leaks(table, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
@@ -334,6 +336,23 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(a, b) == grid[-1][-1]
 
 
+def test_only_oversized_buckets_split(spark):
+    """Against the rule itself; the input's own columns of the names that are added are replaced."""
+    docs = [(i, "x" * (900 if i % 50 == 0 else 20 + i % 7), "mine", -1, "k") for i in range(1500)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, shard string, depth int, key long".replace("key long", "key string"))
+    found = sharding.assign(table, 3000)
+    assert found.columns == ["doc_id", "text", "key", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs", "over_limit"]
+    bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i, *_ in docs}
+    sizes = Counter()
+    for i, t, *_ in docs:
+        for d in range(30):
+            sizes[bits[i][:d]] += len(t)
+    for x in found.collect():
+        prefix = "" if x.shard == "*" else x.shard
+        assert len(prefix) == x.depth and bits[x.doc_id].startswith(prefix) and sizes[prefix] == x.shard_bytes <= 3000
+        assert x.depth == 0 or sizes[prefix[:-1]] > 3000
+
+
 # fuzzy lines
 
 
