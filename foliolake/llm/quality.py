@@ -10,8 +10,10 @@ rejected. Each step is two aggregations over narrow rows with partial sums, so
 a group of any size spreads over all tasks. Only a group's moments (p + p*p
 numbers) meet in one place.
 
-Groups of fewer than ``MIN_GROUP`` usable rows fall back to their language, then to
-all rows; where those are too few as well, nothing is rejected. Features that
+Every group is estimated, whatever its size, and drawn towards its language as by
+``SHRINK`` rows of that, each language towards all rows: means and covariances mix by the numbers of rows, the distance of the means being part of the
+spread. So a source of few rows is judged by its language, a large one by itself, and nothing changes at any one size. All rows together are drawn
+towards the floors under the features' scales alone, so few rows reject nothing but what is far from all of them. Features that
 hardly vary have floors under their scale. Nulls: a null text has no words and
 fails; null languages and sources are groups like others. Repeated rows count
 as often as they occur. Empty tables give empty results; other columns of the
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stage, table
+from ._common import few, small_batches, stage, table
 
 MIN_WORDS = 20
 MAX_REPEATED = 30
 WINDOW = 8
-MIN_GROUP = 100
+#: Rows that the wider group counts for.
+SHRINK = 100
 KEEP = 0.75
 STEPS = 4
 ALPHA = 1e-7
@@ -171,7 +174,8 @@ def _solve(frames):
 def fit(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
     """``rows``: grp, x. Per group: center, inverse, scale, the estimate of minimum determinant."""
     medians = rows.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], 0.5, 1000).alias(f"m{i}") for i in range(P)])
-    spread = rows.join(medians, "grp").groupBy("grp").agg(
+    # a group's estimate is a row: rows stay where they are while there aren't very many groups
+    spread = rows.join(few(stage(medians, "mcd-medians")), "grp").groupBy("grp").agg(
         F.lit(0).alias("start"),
         F.array(*[F.first(f"m{i}") for i in range(P)]).alias("center"),
         F.array(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col(f"m{i}")), 0.5, 1000) * 1.4826 for i in range(P)]).alias("sd"),
@@ -182,45 +186,68 @@ def fit(rows: DataFrame, steps: int = STEPS, keep: float = KEEP) -> DataFrame:
     second = rows.groupBy("grp").agg(*_moments()).withColumn("start", F.lit(1)).mapInPandas(_solve, _FIT)
     state = stage(first.unionByName(second), "mcd-start")
     for _ in range(steps):
-        far = rows.join(state, "grp").select("grp", "start", "x", _distance("center", "inverse").alias("d2"))
+        far = rows.join(few(state), "grp").select("grp", "start", "x", _distance("center", "inverse").alias("d2"))
         bound = far.groupBy("grp", "start").agg(F.percentile_approx("d2", keep, 1000).alias("bound"))
-        inner = far.join(bound, ["grp", "start"]).where("d2 <= bound")
+        inner = far.join(few(stage(bound, "mcd-bound")), ["grp", "start"]).where("d2 <= bound")
         state = stage(inner.groupBy("grp", "start").agg(*_moments()).mapInPandas(_solve, _FIT), "mcd-step")
     best = state.groupBy("grp").agg(F.min_by(F.struct("center", "inverse"), F.struct("log_det", "start")).alias("b")).select("grp", "b.*")
-    scale = rows.join(best, "grp").groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx(_distance("center", "inverse"), 0.5, 1000) / chi_square(P, 0.5)).alias("scale"))
-    return stage(best.join(scale, "grp"), "mcd-fit")
+    best = stage(best, "mcd-best")
+    scale = F.greatest(F.lit(1.0), F.percentile_approx(_distance("center", "inverse"), 0.5, 1000) / chi_square(P, 0.5)).alias("scale")
+    return stage(best.join(rows.join(few(best), "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), scale), "grp"), "mcd-fit")
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, alpha: float = ALPHA) -> DataFrame:
-    """The counts of every document, base_failed, distance (null without a verdict) and kept."""
+_SHRUNK = "grp string, center array<double>, inverse array<double>, spread array<double>"
+
+
+def _mix(weight: float):
+    """Estimates (center, inverse, scale, n) and those of their wider groups (wide_center, wide_spread; null for the widest) to shrunk ones."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                centre, spread = np.array(r.center), np.linalg.inv(np.array(r.inverse).reshape(P, P)) * r.scale
+                if r.wide_center is not None:
+                    w, wide = r.n / (r.n + weight), np.array(r.wide_center)
+                    apart = centre - wide
+                    spread = w * spread + (1 - w) * np.array(r.wide_spread).reshape(P, P) + w * (1 - w) * np.outer(apart, apart)
+                    centre = wide + w * apart
+                out.append((r.grp, centre.tolist(), np.linalg.inv(spread).ravel().tolist(), spread.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["grp", "center", "inverse", "spread"])
+
+    return run
+
+
+def shrunk(estimates: DataFrame, parents: DataFrame, weight: float = SHRINK) -> DataFrame:
+    """``estimates`` (:func:`fit`) of three depths, each drawn towards its wider group's. ``parents``: grp, wide (null for the widest)."""
+    known, done = parents.join(few(estimates), "grp"), None
+    for depth in ("0", "1", "2"):
+        own = known.where(F.col("grp").startswith(depth))
+        if done is None:
+            wide = own.withColumns({"wide_center": F.lit(None).cast("array<double>"), "wide_spread": F.lit(None).cast("array<double>")})
+        else:
+            wide = own.join(few(done.select(F.col("grp").alias("wide"), F.col("center").alias("wide_center"), F.col("spread").alias("wide_spread"))), "wide")
+        found = stage(wide.select("grp", "center", "inverse", "scale", "n", "wide_center", "wide_spread").mapInPandas(_mix(weight), _SHRUNK), "mcd-shrunk")
+        done = found
+    return done.select("grp", "center", "inverse")
+
+
+def judge(docs: DataFrame, weight: float = SHRINK, alpha: float = ALPHA) -> DataFrame:
+    """The counts of every document, base_failed, distance (null where nothing could be estimated) and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     key = lambda *c: F.concat_ws("\x1f", F.lit(str(len(c))), *[F.coalesce(x, F.lit("\x00")) for x in c])
     rows = measure(docs).withColumn("base_failed", failed).withColumn("x", vector())
-    rows = rows.withColumn("by_source", key(F.col("lang"), F.col("source"))).withColumn("by_lang", key(F.col("lang")))
+    rows = rows.withColumn("grp", key(F.col("lang"), F.col("source"))).withColumn("by_lang", key(F.col("lang")))
     rows = stage(rows, "quality-counts")
     fitted = rows.where("not base_failed")
-    sizes = fitted.groupBy("by_source", "by_lang").count()
-    enough = lambda k: sizes.groupBy(k).agg(F.sum("count").alias("n")).where(F.col("n") >= min_group).select(F.col(k).alias("grp"))
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    good = stage(enough("by_source").unionByName(enough("by_lang")).coalesce(1), "quality-groups")
-    named = (
-        rows.join(good.withColumnRenamed("grp", "by_source").withColumn("own", F.lit(True)), "by_source", "left")
-        .join(good.withColumnRenamed("grp", "by_lang").withColumn("wide", F.lit(True)), "by_lang", "left")
-        .withColumn("grp", F.when(F.col("own"), F.col("by_source")).when(F.col("wide"), F.col("by_lang")).when(F.lit(total >= min_group), F.lit("0")))
-    )
-    named = stage(named.drop("by_source", "by_lang", "own", "wide"), "quality-named")
-    usable = named.where("not base_failed and grp is not null")
-    scope = usable.select("grp", "x")
-    if total >= min_group:
-        # a language's estimate rests on all its rows, also those of sources that have estimates of their own
-        wider = rows.where("not base_failed").select(F.col("by_lang").alias("grp"), "x")
-        needed = usable.where(F.col("grp").startswith("1\x1f")).select("grp").distinct()
-        scope = scope.where(F.col("grp").startswith("2\x1f")).unionByName(wider.join(needed, "grp", "left_semi"))
-        if usable.where(F.col("grp") == "0").limit(1).count():
-            scope = scope.unionByName(rows.where("not base_failed").select(F.lit("0").alias("grp"), "x"))
-    estimates = fit(scope)
+    scope = fitted.select(F.explode(F.array("grp", "by_lang", F.lit("0"))).alias("grp"), "x")
+    wider = F.explode(F.array(F.struct("grp", F.col("by_lang").alias("wide")), F.struct(F.col("by_lang").alias("grp"), F.lit("0").alias("wide")), F.struct(F.lit("0").alias("grp"), F.lit(None).cast("string").alias("wide"))))
+    parents = stage(fitted.select("grp", "by_lang").distinct().select(wider.alias("p")).select("p.*").distinct(), "quality-groups")
+    estimates = shrunk(fit(scope), parents, weight)
     cutoff = chi_square(P, 1 - alpha)
-    return named.join(estimates, "grp", "left").withColumn("distance", _distance("center", "inverse") / F.col("scale")).withColumn(
+    return rows.join(few(estimates), "grp", "left").withColumn("distance", _distance("center", "inverse")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
     ).select("doc_id", "fp", "lang", "source", *_COUNTS, "base_failed", "distance", "kept")
 

@@ -82,3 +82,19 @@ def test_estimates_agree_with_many_starts(spark):
         mine = np.array([d for _, _, d in sorted((v.grp, v.i, v.d) for v in far if v.grp == g)])
         assert ((mine > cutoff) == (d2 > cutoff)).mean() >= 0.99, g
         assert np.corrcoef(mine, d2)[0, 1] > 0.98, g
+
+
+def test_small_groups_lean_on_wider_ones(spark):
+    """What is far from a language is rejected in a source of any size, what is usual isn't; a large source is judged by itself."""
+    r = np.random.default_rng(5)
+    rows = [("2\x1fl\x1fbig", v) for v in r.normal(0, 1, (800, quality.P))]
+    rows += [(f"2\x1fl\x1fs{n}", v) for n in (1, 2, 5, 20, 60) for v in r.normal(0, 1, (n, quality.P))]
+    rows += [("2\x1fl\x1fodd", v + 6) for v in r.normal(0, 1, (150, quality.P))]  # usual there only
+    rows += [(g, np.full(quality.P, 15.0)) for g in ("2\x1fl\x1fs1", "2\x1fl\x1fs20", "2\x1fl\x1fbig")]
+    table = spark.createDataFrame([(i, g, v.tolist()) for i, (g, v) in enumerate(rows)], "i int, grp string, x array<double>")
+    scope = table.select(F.explode(F.array("grp", F.lit("1\x1fl"), F.lit("0"))).alias("grp"), "x")
+    parents = spark.createDataFrame([(g, "1\x1fl") for g in {g for g, _ in rows}] + [("1\x1fl", "0"), ("0", None)], "grp string, wide string")
+    found = quality.shrunk(quality.fit(scope), parents)
+    far = {x.i: x.d for x in table.join(found, "grp").select("i", quality._distance("center", "inverse").alias("d")).collect()}
+    cutoff = quality.chi_square(quality.P, 1 - quality.ALPHA)
+    assert len(far) == len(rows) and [i for i, d in far.items() if d > cutoff] == [len(rows) - 3, len(rows) - 2, len(rows) - 1]
