@@ -233,20 +233,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(_TOKEN), F.lit(0))
 
 
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Tokens of a text with their first place and the one after their last."""
+    out, own, start, end = [], "", 0, 0
+    for at, raw in enumerate(text):
+        for c in raw.lower():
+            c = _folded(c)
+            kind = unicodedata.category(c)
+            if ord(c) in ACCENTS:
+                end = at + 1 if own else end
+            elif (kind[0] in "LN" or kind in ("Co", "Cn")) and ord(c) not in FORMER_MARKS:
+                start = start if own else at
+                own, end = own + c, at + 1
+            elif own:
+                out.append((own, start, end))
+                own = ""
+    return [*out, (own, start, end)] if own else out
+
+
 def plain_tokens(text: str) -> list[str]:
     """As :func:`tokens`, of a short text in the driver, such as a query."""
-    out, own = [], ""
-    for c in text.lower():
-        c = _folded(c)
-        if ord(c) in ACCENTS:
-            continue
-        kind = unicodedata.category(c)
-        if (kind[0] in "LN" or kind in ("Co", "Cn")) and ord(c) not in FORMER_MARKS:
-            own += c
-        elif own:
-            out.append(own)
-            own = ""
-    return [*out, own] if own else out
+    return [t for t, _, _ in token_spans(text)]
 
 
 def safe_error(message: Column, secret: Column | None = None) -> Column:

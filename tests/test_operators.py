@@ -78,7 +78,7 @@ def test_search_ranks_and_marks(spark):
     index = search.in_memory(lines(spark, "red fox red fox", "a fox", "blue sky", " "))
     assert [r.seq for r in search.search(index, "fox").collect()] == [1, 2]
     assert [r.seq for r in search.search(index, "red-fox").collect()] == [1]
-    assert snippet_of("One red fox and a Fox", [["red"], ["fox"]]) == "One <mark>red fox</mark> and a <mark>Fox</mark>"
+    assert snippet_of("One red fox and a Fox", [["red"], ["fox"]]) == "One <mark>red</mark> <mark>fox</mark> and a <mark>Fox</mark>"
 
 
 def test_echoes_of_neighbouring_bands_go(spark):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as X
+from foliolake.functions.udfs import snippet_of
 from foliolake.operators import overlay, search
 
 #: Letters that came to the standard, or got their case pairs, after the one that the engine folds by: here they fold by today's.
@@ -63,6 +64,18 @@ def check(spark, path, rows):
         assert all(found[k] == pytest.approx(wanted[k], abs=6e-5) for k in wanted), q
 
 
+def test_snippets_equal_the_engine():
+    r = random.Random(12)
+    words = ["the", "red", "fox", "of", "Élan.", "sky:", "a", "red-fox", "the,the", "கல்வி", "x", "y", "z.", "q", "e\u0301e"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) + r.choice(["", ".", "  "]) for _ in range(400)]
+    con = engine([(i, 0, 0, t) for i, t in enumerate(texts)])
+    for q in ("fox", "red-fox", "the the", "elan fox", "the-the of", "கல்வி sky", "z red fox the"):
+        match = " ".join('"' + t + '"' for t in q.split())
+        wanted = dict(con.execute("SELECT doc, snippet(t, 3, '<mark>', '</mark>', '…', 16) FROM t WHERE t MATCH ?", (match,)))
+        assert len(wanted) > 5
+        assert [(texts[i], s, snippet_of(texts[i], search.phrases_of(q))) for i, s in wanted.items() if snippet_of(texts[i], search.phrases_of(q)) != s] == [], q
+
+
 def corpus():
     r = random.Random(4)
     words = ["the", "the", "red", "fox", "of", "Élan", "elan", "கல்வி", "sky", "a", "red-fox", "the,the"]
