@@ -10,9 +10,12 @@ from . import review
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, sf_dir: str, batch_files: int = 16) -> DataFrame:
-    """The event log as a stream of files; ts as a timestamp, as watermarks need it."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", batch_files).parquet(f"{sf_dir}/events.parquet")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of files; ts as a timestamp, as watermarks need it.
+
+    Files that are there at the start make one batch, as their order is not that of the events: none may be late because of another file.
+    """
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

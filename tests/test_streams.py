@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from foliolake.plans import table_queries
-from foliolake.streaming import review
+from foliolake.streaming import feeds, review
 
 from .conftest import DATA
 
@@ -57,3 +57,21 @@ def test_a_silent_job_is_lost_until_it_is_heard_of_again(spark, tmp_path):
 def test_jobs_of_the_query_are_lost_too(spark, compare):
     got = table_queries.job_status_stream(spark, DATA).groupBy("status").count().collect()
     assert len(got) > 1 and sum(x["count"] for x in got) == spark.read.parquet(f"{DATA}/events.parquet").agg(F.countDistinct("user_id")).first()[0]
+
+
+def test_a_lost_job_has_one_row(spark, tmp_path):
+    at = lambda h: START + timedelta(hours=h)
+    # both timers of job 1 end in one batch; job 2 is heard of in the batch in which its patience ends
+    parts = [[(1, at(0), 1, "pending", 0)], [(2, at(100), 9, "done", 0)], [(3, at(99.5), 2, "pending", 1), (4, at(200), 9, None, 1)]]
+    found = review.jobs(batches(spark, tmp_path, parts, FEED), str(tmp_path / "out"), 3600, 36000).collect()
+    assert sorted((x.job_id, x.status, x.pages_done) for x in found) == [(1, "lost", 0), (2, "lost", 1), (9, "done", 1)]
+
+
+def test_files_in_any_order_make_no_event_late(spark, tmp_path):
+    path = tmp_path / "events.parquet"
+    path.mkdir()
+    for k in range(40):  # the newest file first
+        ts = F.lit(START + timedelta(days=40 - k)).cast("timestamp_ntz")
+        one = spark.range(1).select(F.lit(k).cast("long").alias("event_id"), ts.alias("ts"), F.lit(k).cast("long").alias("user_id"), F.lit("purchase").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+        one.coalesce(1).write.parquet(str(path / f"{k:02d}.parquet"))
+    assert feeds.job_feed(spark, str(tmp_path), str(tmp_path / "out")).where("status = 'done'").count() == 40
