@@ -11,8 +11,9 @@ links gives components; each keeps one line, that of the least document, in it t
 
 Documents are told apart by doc_id and a hash of the text, null ids last; rows that agree in both are one document and
 keep the same lines. Null texts have no lines and stay null. Band groups are reduced by partial minimums and linked through
-centres, so one very common line or a large group of similar ones costs in proportion to its size. Long lines
-are whole: the shingle hashes of a line, worked out once, take about 50 bytes a character of a task's memory. Empty tables give
+centres, so one very common line or a large group of similar ones costs in proportion to its size. Candidates travel as
+text, an eighth of their shingle hashes, which the comparison works out. Long lines
+are whole: the shingle hashes of a line take about 50 bytes a character of a task's memory. Empty tables give
 empty results; other columns stay as they are, n_lines and n_removed of the input are replaced.
 """
 
@@ -91,8 +92,9 @@ def shingle_hashes(line: F.Column) -> F.Column:
 
 
 def _reach(x: F.Column, y: F.Column) -> F.Column:
-    """Whether two sets reach the threshold."""
-    return let(F.size(F.array_intersect(x, y)), lambda c: 100 * c >= PERCENT * (F.size(x) + F.size(y) - c))
+    """Whether the sets of two lines reach the threshold."""
+    common = lambda x, y: let(F.size(F.array_intersect(x, y)), lambda c: 100 * c >= PERCENT * (F.size(x) + F.size(y) - c))
+    return let(shingle_hashes(x), lambda x: let(shingle_hashes(y), lambda y: common(x, y)))
 
 
 def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,17 +110,17 @@ def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = stage(posted().join(keys, "key").join(signed.select(F.col("h").alias("doc"), F.col("low").alias("fact")), "doc"), "line-groups")
     release(keys)
     grouped = groups.select(F.col("doc").alias("h")).distinct()
-    sets = stage(signed.select("h", "line").join(grouped, "h").select(F.col("h").alias("doc"), shingle_hashes(F.col("line")).alias("s")), "line-shingles")
+    texts = stage(signed.select("h", "line").join(grouped, "h").select(F.col("h").alias("doc"), "line"), "line-texts")
     heads = stage(signed.select("h", "first"), "line-heads")
     release(signed)
     sweep(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("s").alias("y")), "b")
+        both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("doc").alias("b"), F.col("line").alias("y")), "b")
         return both.where(_reach(F.col("x"), F.col("y"))).select("a", "b")
 
     def maps(some: DataFrame) -> DataFrame:
-        hashes = sets.join(some.select("doc"), "doc").select("doc", F.explode("s").alias("x"))
+        hashes = texts.join(some.select("doc"), "doc").select("doc", F.explode(shingle_hashes(F.col("line"))).alias("x"))
         found = hashes.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), *parity(F.col("x"), WIDTH))
         return some.join(found.select("doc", F.struct("n", *[f"b{k}" for k in range(WIDTH)]).alias("wide")), "doc")
 
@@ -126,7 +128,7 @@ def fuzzy_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mapped = within(PERCENT, WIDTH)
     shared = lambda x, y: F.array_min(F.array_intersect(bands(x), bands(y)))
     found = link(groups, verify, alike, maps, lambda x, y: sizes(x, y) & mapped(x, y), shared)
-    release(sets, groups)
+    release(texts, groups)
     return lines.select("doc", "fp", "pos", "h"), heads, found
 
 

@@ -562,3 +562,31 @@ def test_long_stretches_of_one_byte():
     data = np.frombuffer(b"x" * 500, np.uint8)
     keys, first, last, row = suffixes.stretches(data, np.array([0, 500]))
     assert (first.tolist(), last.tolist(), row.tolist()) == ([0], [450], [0])
+
+
+def test_candidates_of_fuzzy_lines_travel_as_text(spark, monkeypatch):
+    """Staged tables take a few bytes a character of near-equal long lines, not eight for each shingle."""
+    from pathlib import Path
+
+    from foliolake.llm import fuzzy_lines
+
+    r = random.Random(8)
+    rows, size = [], 0
+    for k in range(60):
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 9))) for _ in range(1500)]
+        for j in range(4):
+            own = list(words)
+            own[100 * j + 7] = "changed"
+            rows.append((4 * k + j, " ".join(own)))
+            size += len(rows[-1][1])
+    written, stage = [], fuzzy_lines.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        written.append((sum(f.stat().st_size for f in Path(out._staged_at.removeprefix("file:")).rglob("*.parquet")), name))
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "stage", counted)
+    found = fuzzy_lines.remove_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in found.where("n_removed = 0").collect()} == set(range(0, 240, 4))
+    assert max(written)[0] < 2 * size, max(written)
