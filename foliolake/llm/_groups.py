@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import release, stage, sweep
@@ -12,6 +12,8 @@ from ._common import release, stage, sweep
 #: Star rounds at most, and the pairs a row of the open groups may stand for before another round is worth it.
 STARS = 4
 PAIRS_A_ROW = 1000
+#: A member of a group carries this many of its own keys before the group's.
+BEFORE = 8
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -70,6 +72,12 @@ def within(percent: int, width: int):
     return near
 
 
+def earlier(groups: DataFrame) -> DataFrame:
+    """``groups`` (key, doc, fact) with ``before``, the member's last ``BEFORE`` keys before this one."""
+    own = Window.partitionBy("doc", "fact").orderBy("key").rowsBetween(-BEFORE, -1)
+    return groups.withColumn("before", F.collect_list("key").over(own))
+
+
 def link(groups: DataFrame, verify, near, maps=None, then=None, shared=None) -> DataFrame:
     """Components (node, component) of the documents of ``groups`` (key, doc, fact) under ``verify``.
 
@@ -80,7 +88,9 @@ def link(groups: DataFrame, verify, near, maps=None, then=None, shared=None) ->
     go on, with other centres, while groups that hold several components stand for very many pairs. Then the pairs of a group
     that still lie in different components are compared, as far as their facts let them be links. No pair inside a known
     component is formed, no pair that could join two is left out. ``shared`` gives the least key that two facts share, so that
-    a pair of several groups is made in one of them.
+    a pair of several groups is made in one of them. Without it each member carries its last ``BEFORE`` keys before the group's:
+    a pair that shares one of these is left to the group of that key, so it is made where a run of shared keys begins, in the
+    group of its least key in any case.
     """
     spark = groups.sparkSession
     ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -117,10 +127,12 @@ def link(groups: DataFrame, verify, near, maps=None, then=None, shared=None) ->
         now = now.join(stage(maps(now.select("doc", "fact").distinct()), "facts-wide"), ["doc", "fact"])
     else:
         now, then = now.withColumn("wide", F.lit(0)), lambda x, y: F.lit(True)
-    one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "fact", "wide", "component")]) for i in (1, 2))
+    if not shared:
+        now = earlier(now)
+    names = [c for c in now.columns if c != "key"]
+    one, other = (now.select("key", *[F.col(c).alias(f"{c}{i}") for c in names]) for i in (1, 2))
     can = (F.col("component1") < F.col("component2")) & near(F.col("fact1"), F.col("fact2")) & then(F.col("wide1"), F.col("wide2"))
-    if shared:
-        can = can & (F.col("key") == shared(F.col("fact1"), F.col("fact2")))
+    can = can & (F.col("key") == shared(F.col("fact1"), F.col("fact2")) if shared else ~F.arrays_overlap("before1", "before2"))
     rest = one.join(other, "key").where(can).select(*ends("doc1", "doc2")).distinct()
     rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "pairs-rest")
     sweep(spark)

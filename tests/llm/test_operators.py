@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontamination, fuzzy_lines, mixing, ngram_join, personal_data, perspectives, quality, registry, sharding, spans, suffixes
-from foliolake.llm._groups import components
+from foliolake.llm._groups import components, earlier
 
 from ..conftest import DATA
 from .cases import documents, empty, rows
@@ -590,3 +590,14 @@ def test_candidates_of_fuzzy_lines_travel_as_text(spark, monkeypatch):
     found = fuzzy_lines.remove_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {x.doc_id for x in found.where("n_removed = 0").collect()} == set(range(0, 240, 4))
     assert max(written)[0] < 2 * size, max(written)
+
+
+def test_a_pair_of_many_groups_is_made_in_few(spark):
+    """Of near copies that share most of 200 keys every pair is made, about once, not once a key."""
+    r = random.Random(4)
+    own = {doc: set(r.sample(range(200), 190)) | {1000 + doc} for doc in range(12)} | {doc: {r.randrange(200), 2000 + doc} for doc in range(12, 30)}
+    rows = earlier(spark.createDataFrame([(key, doc, 0) for doc, keys in own.items() for key in keys], "key long, doc long, fact long"))
+    one, other = (rows.select("key", F.col("doc").alias(f"doc{i}"), F.col("before").alias(f"before{i}")) for i in (1, 2))
+    made = one.join(other, "key").where((F.col("doc1") < F.col("doc2")) & ~F.arrays_overlap("before1", "before2")).select("doc1", "doc2").collect()
+    wanted = {(a, b) for a in own for b in own if a < b and own[a] & own[b]}
+    assert {tuple(x) for x in made} == wanted and len(made) <= 1.2 * len(wanted)
