@@ -3,10 +3,11 @@
 The benchmark is the stated query set: it is taken in blocks of bounded size against
 all documents. Texts fall into passages of ``PASSAGE`` words, half overlapping. Terms are
 the benchmark's words; their passage counts come from all documents. A
-randomised SVD of TF-IDF passages gives the latent space: the block's own passages
-and a bounded sample of corpus passages (``SAMPLE`` of least hash) are multiplied
-with a random matrix by tasks, sums of the products are orthonormalised, and after
-``POWERS`` rounds a small eigenproblem gives ``RANK`` directions. Every passage of every document is
+randomised SVD of TF-IDF passages gives the latent space. It is fitted on every passage of
+every document and the block's own: tasks sum the products of each passage's pairs of terms, these sums are
+multiplied with a random matrix, the products are orthonormalised, and after
+``POWERS`` rounds a small eigenproblem gives ``RANK`` directions. All of the corpus weighs as
+``CORPUS_ROWS`` passages, so that a growing corpus doesn't drown the items. Every passage of every document is
 projected; words outside the benchmark have no direction and count in its length. Passages whose
 cosine with a benchmark passage in the latent space reaches ``COSINE``, and at least
 ``KNOWN`` of whose squared length (or half of whose words) is in benchmark words, are candidates; so are those that
@@ -32,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stage, sweep, table
-from ._words import chained, mixed, slices, word_hashes, words
+from ._common import release, small_batches, stage, sweep, table
+from ._words import chained, slices, word_hashes, words
 
 PASSAGE = 32
 HALF = PASSAGE // 2
 RANK = 128
 OVERSAMPLE = 16
 POWERS = 2
-SAMPLE = 10_000
+#: All passages of the corpus weigh as many as this, however many they are, beside the items' own in the fit.
+CORPUS_ROWS = 10_000
 COSINE = 0.5
 #: The least share of a passage's squared length that benchmark words must have.
 KNOWN = 0.1
@@ -48,8 +50,13 @@ SAME = 80
 PARAPHRASE = 50
 SHORT = 8
 BLOCK_BYTES = 4 << 20
-#: Tasks that multiply the rows of the latent space, whose number SAMPLE bounds.
+#: Tasks that hold and multiply the sums over pairs of terms.
 SVD_TASKS = 8
+#: Terms, the most frequent ones, whose pairs a task sums in an array (64 MB); pairs with others are sent slice by slice.
+DENSE = 4096
+#: Cells of the matrix that a task spreads out at a time.
+STRIP = 1 << 21
+CELLS = ["i", "j", "value"]
 #: The least weight of a term: that of one in about a third of all passages.
 FLOOR = 1.0
 
@@ -137,58 +144,152 @@ def _sum(parts: DataFrame, shape) -> np.ndarray:
     return out.reshape(shape)
 
 
-def _sample(terms, least):
-    """Passages of the corpus as sparse rows, with the hash that orders the sample; those of hash under ``least``."""
+def passage_terms(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of each passage (``at``: the term of each word or -1): passage, term, count, in order of both."""
+    half, base = halves(first)
+    begin = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+    own = half[begin]
+    slots = np.full((base[-1] + 1, HALF), -1, np.int32)
+    slots[half, np.arange(len(half)) - np.repeat(begin, np.diff(np.append(begin, len(half))))] = at
+    both = np.concatenate((slots[own], slots[own + 1]), axis=1)
+    both.sort(axis=1)
+    new = np.ones(both.shape, bool)
+    new[:, 1:] = both[:, 1:] != both[:, :-1]
+    place = np.flatnonzero(new)
+    term, count = both.ravel()[place].astype(np.int64), np.diff(np.append(place, both.size))
+    some = term >= 0
+    return place[some] // PASSAGE, term[some], count[some]
+
+
+def _lists(i: np.ndarray, j: np.ndarray, value: np.ndarray):
+    """Cells in order of i as batches of rows (i, j, value), one row for each i."""
+    cut = np.append(np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), len(i)) if len(i) else np.zeros(1, np.int64)
+    for k in range(0, len(cut) - 1, 512):
+        own = cut[k : k + 513]
+        a, offsets = own[0], pa.array((own - own[0]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[a : own[-1]])) for x in (j.astype(np.int32), value)]
+        yield pa.RecordBatch.from_arrays([pa.array(i[own[:-1]].astype(np.int32)), *lists], CELLS)
+
+
+def _cells(terms, rank, idf, weight: float, dense: int):
+    """Per task the sums over its passages of a'a, of the normalised TF-IDF row a; the cells on and under the diagonal.
+
+    Terms go by falling frequency: cells of the first ``dense`` are summed in an array, those of others slice by slice.
+    """
 
     def run(batches):
-        look = Lookup(terms.value)
+        look, place, w = Lookup(terms.value), rank.value, idf.value
+        tri = np.arange(len(w) + 1) * np.arange(1, len(w) + 2) // 2
+        total = np.zeros(tri[min(dense, len(w))])
         for batch in batches:
-            ranks, lists = [], []
             for _, _, data, bounds in slices(batch.column("text")):
                 starts, ends, first = words(data, bounds)
                 if not len(starts):
                     continue
-                hashes = word_hashes(data, starts, ends)
-                half, _ = halves(first)
-                cut = np.append(np.flatnonzero(np.r_[True, half[1:] != half[:-1]]), len(half))
-                order = (mixed(np.add.reduceat(hashes, cut[:-1])) >> np.uint64(1)).astype(np.int64)
-                for k in np.flatnonzero(order < least):
-                    at = look(hashes[cut[k] : min(cut[k] + PASSAGE, cut[-1])])
-                    ranks.append(int(order[k]))
-                    lists.append(at[at >= 0].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["rank", "terms"])
+                at = look(word_hashes(data, starts, ends))
+                row, term, a = passage_terms(np.where(at >= 0, place[at], -1), first)
+                a = a * w[term]
+                sizes = np.bincount(row)
+                a /= np.sqrt(np.bincount(row, a * a))[row]
+                begin, rest = np.cumsum(sizes) - sizes, []
+                for n in np.unique(sizes[sizes > 0]).tolist():
+                    take = begin[sizes == n][:, None] + np.arange(n)
+                    t, x = term[take], a[take]
+                    one, other = np.tril_indices(n)
+                    code, value = (tri[t][:, one] + t[:, other]).ravel(), (x[:, one] * x[:, other]).ravel()
+                    if t[:, -1].max() >= dense:
+                        far = code >= len(total)
+                        rest.append((t[:, one].ravel()[far], t[:, other].ravel()[far], value[far]))
+                        code, value = code[~far], value[~far]
+                    np.add.at(total, code, value)
+                if rest:
+                    i, j, value = (np.concatenate(x) for x in zip(*rest))
+                    code, where = np.unique(i * len(w) + j, return_inverse=True)
+                    yield from _lists(code // len(w), code % len(w), weight * np.bincount(where, value))
+        code = np.flatnonzero(total)
+        i = np.searchsorted(tri, code, "right") - 1
+        yield from _lists(i, code - tri[i], weight * total[code])
 
     return run
 
 
-def _gram(basis, idf):
-    """Per task the sum over its rows a of a (a basis): A'A times the basis."""
+def _merge(size: int):
+    """Rows (i, j, value) in order of i, added up to one row for each i."""
 
     def run(batches):
-        q, w = basis.value, idf.value
+        here, total = None, np.zeros(size)
+
+        def done():
+            j = np.flatnonzero(total)
+            yield from _lists(np.full(len(j), here), j, total[j])
+
+        for batch in batches:
+            for i, j, value in zip(batch.column("i").to_pylist(), batch.column("j"), batch.column("value")):
+                if i != here:
+                    if here is not None:
+                        yield from done()
+                    here, total[:] = i, 0
+                # no j twice in one row
+                total[j.values.to_numpy()] += value.values.to_numpy()
+        if here is not None:
+            yield from done()
+
+    return run
+
+
+def gram(texts: DataFrame, items: DataFrame, terms, counts: np.ndarray, idf: np.ndarray, weight: float, dense: int = DENSE) -> DataFrame:
+    """The sums of a'a over every passage of ``texts``, times ``weight``, and of ``items``: rows (i, j, value) of the cells j <= i.
+
+    i and j are the terms' ranks by falling ``counts`` (:func:`by_frequency`). A task sums the passages of many files, so that the
+    shuffle carries its cells once and not for each file: as many tasks as the cluster has cores.
+    """
+    context = texts.sparkSession.sparkContext
+    order, rank = by_frequency(counts)
+    shared = terms, context.broadcast(rank), context.broadcast(idf[order])
+    schema = "i int, j array<int>, value array<double>"
+    parts = texts.coalesce(max(1, context.defaultParallelism)).mapInArrow(_cells(*shared, weight, dense), schema)
+    own = items.coalesce(1).mapInArrow(_cells(*shared, 1.0, dense), schema)
+    return parts.unionByName(own).repartition(SVD_TASKS, "i").sortWithinPartitions("i").mapInArrow(_merge(len(idf)), schema)
+
+
+def by_frequency(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms by falling count, and the rank of each term."""
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
+
+
+def _times(basis):
+    """Per task its part of the product of the symmetric matrix, of which rows have the cells j <= i, and the basis."""
+
+    def run(batches):
+        q = basis.value
         total = np.zeros(q.shape)
         for batch in batches:
-            for own in batch.column("terms"):
-                t, n = np.unique(own.values.to_numpy(zero_copy_only=False), return_counts=True)
-                a = n * w[t]
-                length = np.linalg.norm(a)
-                if length > 0:
-                    a = a / length
-                    total[t] += np.outer(a, a @ q[t])
+            rows = max(1, STRIP // len(q))
+            for k in range(0, len(batch), rows):
+                part = batch.slice(k, rows)
+                i, lists = part.column("i").to_numpy(), part.column("j")
+                strip = np.zeros((len(part), len(q)))
+                at = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+                strip[at, lists.flatten().to_numpy()] = part.column("value").flatten().to_numpy()
+                total[i] += strip @ q
+                strip[np.arange(len(part)), i] = 0
+                total += strip.T @ q[i]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     return run
 
 
-def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = POWERS, seed: int = 11) -> np.ndarray:
-    """The leading right singular directions (terms x rank) of the normalised TF-IDF rows (``terms``: places of words)."""
-    context = rows.sparkSession.sparkContext
-    width = min(rank + OVERSAMPLE, len(idf))
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), width)))[0]
-    weights = context.broadcast(idf)
+def randomised_svd(cells: DataFrame, size: int, rank: int = RANK, rounds: int = POWERS, seed: int = 11) -> np.ndarray:
+    """The leading right singular directions (terms x rank) of the rows whose sums a'a are ``cells`` (:func:`gram`), of ``size`` terms."""
+    context = cells.sparkSession.sparkContext
+    width = min(rank + OVERSAMPLE, size)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     for last in [False] * rounds + [True]:
         shared = context.broadcast(basis)
-        product = _sum(rows.mapInArrow(_gram(shared, weights), "part binary"), basis.shape)
+        product = _sum(cells.mapInArrow(_times(shared), "part binary"), basis.shape)
         if last:
             _, u = np.linalg.eigh(basis.T @ product)
             return (basis @ u[:, ::-1])[:, : min(rank, width)]
@@ -382,10 +483,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         counts = _sum(texts.select("text").mapInArrow(_count_terms(shared), "part binary"), (len(terms) + 1,))
         total = max(1.0, counts[-1])
         idf = np.maximum(FLOOR, np.log((total + 1) / (counts[:-1] + 1)))
-        corpus = texts.select("text").mapInArrow(_sample(shared, int(min(1.0, 1.2 * SAMPLE / total) * ((1 << 63) - 1))), "rank long, terms array<long>").orderBy("rank").limit(SAMPLE).select("terms")
-        own = [(_position(terms, _hashes(tokens))[i : i + PASSAGE].tolist(),) for _, tokens, _ in items for i in range(0, max(1, len(tokens) - HALF), HALF)]
-        rows = stage(corpus.unionByName(spark.createDataFrame(own, "terms array<long>")).repartition(SVD_TASKS, F.hash("terms")), "svd-rows")
-        directions = randomised_svd(rows, idf)
+        own = spark.createDataFrame([(b" ".join(tokens),) for _, tokens, _ in items], "text binary")
+        cells = stage(gram(texts.select("text"), own, shared, counts[:-1], idf, min(1.0, CORPUS_ROWS / total)), "svd-cells")
+        directions = randomised_svd(cells, len(terms))[by_frequency(counts[:-1])[1]]
+        release(cells)
         space = context.broadcast((terms, idf, directions, items, float(np.log(total + 1))))
         found = found.unionByName(texts.mapInArrow(_search(space), "doc_id long, fp long, item_id long, lcs_percent long"))
         sweep(spark)

@@ -44,6 +44,46 @@ def test_leaks_equal_a_search_of_all_documents(spark):
     assert len(found) > 10 and found <= wanted and len(found) >= 0.95 * len(wanted), (found ^ wanted)
 
 
+def test_the_latent_space_is_fitted_on_every_passage(spark):
+    """The sums over pairs of terms against a plain product of all passages, and the directions against those of that product."""
+    docs, items = (spark.read.parquet(f"{DATA}/{t}.parquet").select(F.col("text").cast("binary")) for t in ("documents", "benchmark"))
+    asked = [decontamination._tokens(r.text.decode()) for r in items.collect()]
+    terms = np.unique(np.concatenate([decontamination._hashes(x) for x in asked]))
+    place = {w: int(np.searchsorted(terms, decontamination._hashes([w])[0])) for x in asked for w in x}
+    r = np.random.default_rng(3)
+    counts, idf = r.integers(0, 99, len(terms)).astype(float), 1 + r.random(len(terms))
+
+    def plain(texts, half=decontamination.HALF):
+        total, found, rows = np.zeros((len(terms), len(terms))), 0, []
+        for text in texts:
+            tokens = (text or b"").lower().split()
+            for i in range(0, len(tokens), half):
+                found += 1
+                row = np.zeros(len(terms))
+                for w in tokens[i : i + 2 * half]:
+                    if w in place:
+                        row[place[w]] += idf[place[w]]
+                if row.any():
+                    rows.append(row / np.linalg.norm(row))
+            if len(rows) > 1000:
+                total, rows = total + np.array(rows).T @ np.array(rows), []
+        return total + (np.array(rows).T @ np.array(rows) if rows else 0), found
+
+    corpus, passages = plain([x.text for x in docs.collect()])
+    want = 0.25 * corpus + plain([b" ".join(x) for x in asked])[0]
+    order, rank = decontamination.by_frequency(counts)
+    for dense in (decontamination.DENSE, 50):
+        cells = decontamination.gram(docs, items, spark.sparkContext.broadcast(terms), counts, idf, 0.25, dense).cache()
+        got = np.zeros_like(want)
+        for x in cells.toLocalIterator():
+            got[x.i, x.j] = got[x.j, x.i] = x.value
+        assert passages > 10_000 and np.allclose(got[np.ix_(rank, rank)], want)
+    found = decontamination.randomised_svd(cells, len(terms), rank=8, rounds=8)[rank]
+    values, vectors = np.linalg.eigh(want)
+    assert np.allclose(np.linalg.norm(want @ found, axis=0), values[::-1][:8], rtol=0.01)
+    assert np.allclose(np.abs(found[:, 0] @ vectors[:, -1]), 1, atol=0.01)
+
+
 def plain_mcd(x, r, starts=12, keep=quality.KEEP):
     """Centre, inverse and determinant of the subset of least determinant that steps from many starts settle on."""
     floors = np.diag(np.square(list(quality.FEATURES.values())))
