@@ -9,7 +9,7 @@ document of a smaller doc_id. Two stages keep the suffix array small and spread:
    found by partial minimums and maximums; no other window can repeat.
 2. Suffixes. Stretches of shared anchors are dealt by anchor. A task takes
    stretches it has seen in a smaller document as they are, and sorts the
-   suffixes of the others: the suffix array by their first ``LENGTH`` bytes, ties in
+   suffixes of the others, but for those that a hash of their first ``LENGTH`` bytes tells from all others: the suffix array by their first ``LENGTH`` bytes, ties in
    order of doc_id, and the array of common prefixes of neighbours. The longest
    previous factor of a suffix is the longer of its common prefixes with the previous
    and the next suffix of a smaller document (:func:`previous_factors`); windows whose
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from ._common import release, small_batches, stage, sweep, table
 from ._groups import shared_keys
-from ._words import BYTE, mixed, powers, slices
+from ._words import BYTE, buffers, mixed, powers, slices
 
 LENGTH = 50
 GRAM = 16
 LAST = (1 << 63) - 1
 #: Windows that a task sorts at a time, about.
 AT_ONCE = 400_000
+#: Cells of the table that sets windows aside which no other can equal: two to the power of this.
+TABLE_BITS = 22
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -126,58 +128,70 @@ def previous_factors(common: np.ndarray, doc: np.ndarray, length: int) -> np.nda
     return best
 
 
-def repeated_windows(items: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
-    """For items (anchor, doc, stretch): which windows of each have a previous factor of ``length`` bytes, under the same anchor in a smaller document."""
+def may_repeat(hashes: np.ndarray) -> np.ndarray:
+    """The places of all hashes that occur twice or more, and few others: those that share a cell of a table with another."""
+    cell = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    place = np.arange(len(cell))
+    last = np.empty(1 << TABLE_BITS, np.int64)
+    last[cell] = place
+    several = np.zeros(1 << TABLE_BITS, bool)
+    several[cell[last[cell] != place]] = True
+    return np.flatnonzero(several[cell])
+
+
+def repeated_windows(items: list[tuple[int, int, bytes]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For items (anchor, doc, stretch), of all their windows in a row: which have a previous factor of ``length`` bytes in a smaller
+    document; and the first window of each item.
+
+    Equal windows have equal anchors and equal hashes, so the suffix array leaves out windows whose hash no other one has: their
+    factors are shorter, and none lies between equal windows.
+    """
     sizes = np.array([len(x[2]) for x in items], np.int64)
     windows = sizes - length + 1
     data = np.frombuffer(b"".join(x[2] for x in items), np.uint8)
-    item = np.repeat(np.arange(len(items)), windows)
     begin = np.cumsum(windows) - windows
-    at = np.arange(len(item)) - begin[item] + (np.cumsum(sizes) - sizes)[item]
+    at = np.arange(windows.sum()) + np.repeat(np.cumsum(sizes) - sizes - begin, windows)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(len(data)), out=total[1:])
+    some = may_repeat(mixed((total[at + length] - total[at]) * powers(len(data) + 1, True)[at]))
     width = -(-length // 8)
-    text = np.zeros((len(item), width * 8), np.uint8)
-    text[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    columns = text.view(">u8")
-    anchor = np.array([x[0] for x in items], np.int64)[item]
-    doc = np.array([x[1] for x in items], np.int64)[item]
-    order = np.lexsort((doc, *[columns[:, k] for k in range(width - 1, -1, -1)], anchor))
+    text = np.zeros((len(some), width * 8), np.uint8)
+    text[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[at[some]]
+    columns = text.view(">u8").astype(np.uint64)
+    doc = np.array([x[1] for x in items], np.int64)[np.searchsorted(begin, some, "right") - 1]
+    order = np.lexsort((doc, *[columns[:, k] for k in range(width - 1, -1, -1)]))
     common = np.zeros(len(order), np.int64)
     for i in range(1, len(order), 1 << 16):
         differ = text[order[i : i + (1 << 16)]] != text[order[i - 1 : i - 1 + (1 << 16)]][: len(order) - i]
         common[i : i + (1 << 16)] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    if len(order):
-        common[1:][anchor[order][1:] != anchor[order][:-1]] = 0
-    found = np.zeros(len(order), bool)
-    found[order] = previous_factors(common, doc[order], length) >= length
-    return np.split(found, begin[1:])
+    found = np.zeros(len(at), bool)
+    found[some[order]] = previous_factors(common, doc[order], length) >= length
+    return found, begin
 
 
 def _match(batches):
     """Rows in the order of key and doc; gives the intervals to remove: doc, fp, start, stop."""
-    out: tuple[list, ...] = ([], [], [], [])
+    out: list[tuple[int, int, int, int]] = []
     pending: list[tuple[int, int, bytes]] = []
     starts: list[list[tuple[int, int]]] = []
     held = 0
 
-    def remove(*row):
-        for column, value in zip(out, row):
-            column.append(value)
-
     def settle():
         nonlocal pending, starts, held
-        for (_, doc, _), own, bad in zip(pending, starts, repeated_windows(pending)):
-            if bad.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], bad.view(np.int8), [0]))))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    for fp, s in own:
-                        remove(doc, fp, s + a, s + b - 1 + LENGTH)
+        found, begin = repeated_windows(pending)
+        at = np.flatnonzero(found)
+        item = np.searchsorted(begin, at, "right") - 1
+        cut = np.append(np.flatnonzero(np.r_[len(at) > 0, (np.diff(at) > 1) | (np.diff(item) > 0)][: len(at)]), len(at))
+        at -= begin[item]
+        for k, a, b in zip(item[cut[:-1]].tolist(), at[cut[:-1]].tolist(), at[cut[1:] - 1].tolist()):
+            for fp, s in starts[k]:
+                out.append((pending[k][1], fp, s + a, s + b + LENGTH))
         pending, starts, held = [], [], 0
 
     def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "fp", "start", "stop"])
-        for x in out:
-            x.clear()
-        return batch
+        rows = np.array(out, np.int64).reshape(-1, 4)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["doc", "fp", "start", "stop"])
 
     def group(key, seen):
         nonlocal held
@@ -189,19 +203,24 @@ def _match(batches):
 
     key, seen = None, {}
     for batch in batches:
-        for k, doc, fp, start, blob in zip(*[batch.column(c).to_pylist() for c in ("key", "doc", "fp", "start", "bytes")]):
+        at, data = buffers(batch.column("bytes"))
+        whole, at = data[at[0] : at[-1]].tobytes(), (at - at[0]).tolist()
+        numbers = [batch.column(c).to_numpy().tolist() for c in ("key", "doc", "fp", "start")]
+        for k, doc, fp, start, a, b in zip(*numbers, at, at[1:]):
             if k != key:
                 group(key, seen)
                 key, seen = k, {}
                 if held > AT_ONCE:
                     settle()
-            if blob not in seen:
+            blob = whole[a:b]
+            known = seen.get(blob)
+            if known is None:
                 seen[blob] = (doc, [(fp, start)])
-            elif seen[blob][0] < doc:
-                remove(doc, fp, start, start + len(blob))
+            elif known[0] < doc:
+                out.append((doc, fp, start, start + b - a))
             else:
-                seen[blob][1].append((fp, start))
-        if len(out[0]) > 10_000:
+                known[1].append((fp, start))
+        if len(out) > 10_000:
             yield flush()
     group(key, seen)
     if pending:
@@ -211,22 +230,26 @@ def _match(batches):
 
 def _cut(batches):
     for batch in batches:
-        rows = []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()):
-            text = text or b""
-            if not own:
-                rows.append((text, 0, 0))
-                continue
-            edges = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edges, [x["start"] for x in own], 1)
-            np.add.at(edges, [x["stop"] for x in own], -1)
+        docs, lists = batch.column("doc_id"), batch.column("_cuts")
+        cuts = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+        every = lists.flatten()
+        start, stop = (every.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+        for i, j, data, bounds in slices(batch.column("text")):
+            own = slice(cuts[i], cuts[j])
+            base = np.repeat(bounds[:-1], np.diff(cuts[i : j + 1]))
+            edges = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edges, base + start[own], 1)
+            np.add.at(edges, base + stop[own], -1)
             gone = np.cumsum(edges[:-1]) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(t or b"") for t in batch.column("text").to_pylist()], pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (0, pa.binary()))]],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+            begins[heads] = gone[heads]
+            removed, spans = (np.diff(np.r_[0, np.cumsum(x)][bounds]) for x in (gone, begins))
+            size = np.diff(bounds)
+            ends = np.r_[0, np.cumsum(size - removed)].astype(np.int64)
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(data[~gone])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([docs[i:j], *[pa.array(x.astype(np.int64)) for x in (size, removed, spans)], kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_later_copies(docs: DataFrame) -> DataFrame:

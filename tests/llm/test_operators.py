@@ -550,6 +550,21 @@ def test_previous_factors_equal_their_definition():
         assert [x >= 6 for x in found] == [x >= 6 for x in want] and all(x <= y for x, y in zip(found, want))
 
 
+def test_windows_that_no_other_equals_are_not_sorted(monkeypatch):
+    r, previous = random.Random(14), suffixes.previous_factors
+    for _ in range(50):
+        stretches = [(1, d, bytes(r.choice(b"abc") for _ in range(r.randint(6, 40)))) for d in range(r.randint(1, 8))]
+        sorted_rows = []
+        monkeypatch.setattr(suffixes, "previous_factors", lambda common, doc, length, own=previous: (sorted_rows.append(len(doc)), own(common, doc, length))[1])
+        found, begin = suffixes.repeated_windows(stretches, 6)
+        every = [(t[i : i + 6], d) for _, d, t in stretches for i in range(len(t) - 5)]
+        times = Counter(w for w, _ in every)
+        assert found.tolist() == [any(o == w and e < d for o, e in every) for w, d in every]
+        assert begin.tolist() == [sum(len(t) - 5 for _, _, t in stretches[:k]) for k in range(len(stretches))]
+        # words that share a cell of the table by chance may be sorted too
+        assert sum(n for n in times.values() if n > 1) <= sorted_rows[0] <= sum(n for n in times.values() if n > 1) + 4
+
+
 def test_one_anchor_in_thousands_of_documents(spark):
     head = b"The same header line stands at the top of every page of this place, always. "
     docs = [(i, head + b"%d own words follow here, number %d of them." % (i * 7919, i)) for i in range(5000)]
