@@ -50,6 +50,16 @@ def test_stages(spark, tmp_path):
     assert ids(after) == ids(before) and after.where("shard is null").count() == 0
 
 
+def test_the_latent_space_of_the_stage_is_fitted_on_all_documents(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    seen, own = [], decontamination.gram
+    monkeypatch.setattr(decontamination, "gram", lambda texts, *rest: (seen.append(sorted(bytes(x.text or b"") for x in texts.collect())), own(texts, *rest))[1])
+    assert p.drop_leaks(spark, docs, DATA).count() < docs.count()
+    assert seen == [sorted((x.text or "").encode() for x in docs.collect())]
+
+
 def test_all_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
