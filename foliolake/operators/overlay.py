@@ -25,13 +25,16 @@ def apply(lines: DataFrame, corrections: DataFrame) -> DataFrame:
     saved = F.array_sort(F.collect_list(F.struct("word", "pos", "before", "after")))
     last = F.filter("_own", lambda c, i: (i == F.size("_own") - 1) | (F.get("_own", i + 1).word != c.word))
     by_line = corrections.groupBy(*KEY).agg(saved.alias("_own")).select(*KEY, F.transform(last, lambda c: F.struct(c.word, c.before, c.after)).alias("_own"))
-    joined = lines.join(by_line, list(KEY), "left").withColumn("_words", X.words("body"))
+    joined = lines.join(by_line, list(KEY), "left").select("*", F.explode(F.array(X.words(F.col("body")))).alias("_words"))
     good = F.filter("_own", lambda c: (c.word >= 1) & (c.word <= F.size("_words")) & (c.before.isNull() | (c.before == F.get("_words", c.word - 1))))
     joined = joined.withColumn("applied", F.coalesce(F.array_sort(good), F.array().cast("array<struct<word:int,before:string,after:string>>")))
     change = F.map_from_entries(F.transform("applied", lambda c: F.struct(c.word, c.after)))
     final = F.array_join(F.transform("_words", lambda w, i: F.coalesce(F.element_at(F.col("_change"), i + 1), w)), " ")
     joined = joined.withColumn("_change", change)
-    return joined.withColumn("final_body", F.when(F.size("applied") > 0, final).otherwise(F.col("body"))).drop("_own", "_words", "_change")
+    # most lines have one change at most: they are cut around it, and only others are gone through word by word
+    w, c = F.col("_words"), F.get("applied", 0)
+    one = F.array_join(F.concat(F.slice(w, 1, c.word - 1), F.array(F.coalesce(c.after, F.get(w, c.word - 1))), F.slice(w, c.word + 1, F.size(w))), " ")
+    return joined.withColumn("final_body", F.when(F.size("applied") == 1, one).when(F.size("applied") > 1, final).otherwise(F.col("body"))).drop("_own", "_words", "_change")
 
 
 def first_match(words: DataFrame, corrections: DataFrame, group: str) -> DataFrame:

@@ -4,6 +4,8 @@ The index holds postings (a row for each term and line, with the term's places),
 hash class of documents, a bucket one of terms; postings lie in folders by bucket and part, sorted by term. A query reads the buckets of its terms
 only, and of their files the row groups that hold them. When documents change, the parts they lie in are written anew; others aren't touched. One writer at a
 time; a search that runs meanwhile may see a part's old rows or its new ones.
+
+A corpus that is asked few times is better kept as its lines with their tokens (:class:`Split`): nothing is shuffled or sorted to store them, and each query is a pass over them.
 """
 
 from __future__ import annotations
@@ -33,6 +35,21 @@ class Index:
     buckets: int
 
 
+@dataclass(frozen=True)
+class Split:
+    """rows: doc_id, page, seq, body, tokens, length (:func:`index_lines`). Rows count one by one, those of the same place too."""
+
+    rows: DataFrame
+
+    @property
+    def lines(self) -> DataFrame:
+        return self.rows.select(*LINE, "body", "length")
+
+    @property
+    def numbers(self) -> DataFrame:
+        return _numbers(self.rows.withColumn("part", F.lit(0)))
+
+
 def index_lines(lines: DataFrame) -> DataFrame:
     """doc_id, page, seq, body, tokens, length of the lines that have text.
 
@@ -102,6 +119,25 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(read("postings").where("term is not null"), read("lines").where("doc_id is not null"), read("numbers"), read("layout").first()["buckets"])
 
 
+def write_split(lines: DataFrame, path: str) -> None:
+    """Store the tokens of ``lines`` (doc_id, page, seq, body) as a table under ``path``."""
+    index_lines(lines).write.option("compression", "zstd").parquet(path)
+
+
+def open_split(spark: SparkSession, path: str) -> Split:
+    return Split(spark.read.parquet(path))
+
+
+def terms(index: Split) -> DataFrame:
+    """term, occurrences, n_lines (places that hold it). A line's terms are told apart within its row; only places of several rows need a shuffle for that."""
+    both = F.posexplode(F.array("tokens", F.array_distinct("tokens"))).alias("k", "own")
+    each = index.rows.select(*LINE, both).select(*LINE, "k", F.explode("own").alias("term"))
+    if not index.rows.groupBy(*LINE).count().where("count > 1").limit(1).count():
+        return each.groupBy("term").agg(F.count_if(F.col("k") == 0).alias("occurrences"), F.count_if(F.col("k") == 1).alias("n_lines"))
+    held = each.where("k = 1").select("term", *LINE).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_lines"))
+    return each.where("k = 0").groupBy("term").agg(F.count(F.lit(1)).alias("occurrences")).join(held, "term")
+
+
 def replace_documents(lines: DataFrame, documents: DataFrame, path: str) -> None:
     """Put ``lines`` in place of all that the index under ``path`` has of ``documents`` (doc_id); documents without lines leave it.
 
@@ -125,9 +161,22 @@ def phrases_of(query: str) -> list[list[str]]:
     return [t for t in map(X.plain_tokens, query.split()) if t]
 
 
-def occurrences(index: Index, phrases: list[list[str]]) -> DataFrame:
+def _counted(index: Split, phrases: list[list[str]]) -> DataFrame:
+    """As :func:`occurrences`, with the body, of all lines; lists are gone through only where they hold a phrase's first token."""
+    at = lambda i: F.get("tokens", i)
+
+    def count(tokens):
+        follows = lambda x, i: functools.reduce(lambda a, b: a & b, [at(i + k) == t for k, t in enumerate(tokens) if k], x == tokens[0])
+        return F.when(F.array_contains("tokens", tokens[0]), F.size(F.filter("tokens", follows))).otherwise(0)
+
+    return index.rows.select(*LINE, "length", *[count(p).alias(f"f{i}") for i, p in enumerate(phrases)], "body")
+
+
+def occurrences(index: Index | Split, phrases: list[list[str]]) -> DataFrame:
     """doc_id, page, seq, length, f0, f1, ...: lines that hold a token of the phrases, and how often each phrase stands in them."""
     terms = sorted({t for p in phrases for t in p})
+    if isinstance(index, Split) and terms:
+        return _counted(index, phrases)
     if not terms:
         return index.lines.where(F.lit(False)).select(*LINE, "length")
     own = index.postings.where(F.col("bucket").isin([_bucket(F.lit(t), index.buckets) if index.buckets > 1 else F.lit(0) for t in terms]) & F.col("term").isin(terms))
@@ -142,14 +191,14 @@ def occurrences(index: Index, phrases: list[list[str]]) -> DataFrame:
     return counted
 
 
-def matches(index: Index, query: str) -> DataFrame:
+def matches(index: Index | Split, query: str) -> DataFrame:
     """Lines that hold every phrase, with the number of occurrences of each: f0, f1, ..."""
     phrases = phrases_of(query)
     found = occurrences(index, phrases)
     return functools.reduce(lambda rows, i: rows.where(F.col(f"f{i}") > 0), range(len(phrases)), found)
 
 
-def ranked(index: Index, query: str) -> DataFrame:
+def ranked(index: Index | Split, query: str) -> DataFrame:
     """Matches with score, the lower the better, as the embedded engine ranks: phrases count as terms.
 
     The corpus numbers (lines, mean length, lines with each phrase) are one row, joined by a constant key.
@@ -169,10 +218,14 @@ def ranked(index: Index, query: str) -> DataFrame:
     return rows.withColumn("score", F.round(score, 4)).drop("_one")
 
 
-def search(index: Index, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
+def search(index: Index | Split, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """The best lines, ties in reading order, with their text, which is read for them only."""
-    best = ranked(index, query).orderBy("score", *LINE).offset(offset).limit(limit).select(*LINE, "score")
-    return index.lines.join(F.broadcast(best), list(LINE)).select(*LINE, "score", "body").orderBy("score", *LINE)
+    order = ["score", *[F.col(c).asc_nulls_last() for c in LINE]]
+    found = ranked(index, query)
+    if "body" in found.columns:
+        return found.select(*LINE, "score", "body").orderBy(*order).offset(offset).limit(limit)
+    best = found.orderBy(*order).offset(offset).limit(limit).select(*LINE, "score")
+    return index.lines.join(F.broadcast(best), list(LINE)).select(*LINE, "score", "body").orderBy(*order)
 
 
 def with_snippets(hits: DataFrame, query: str) -> DataFrame:

@@ -121,3 +121,44 @@ def test_a_query_reads_its_buckets_and_splits_no_text(spark, tmp_path):
     assert "regexp_extract_all" not in plan and "translate" not in plan
     scan = next(x for x in plan.splitlines() if "FileScan" in x and "positions" in x)
     assert "PartitionFilters: [bucket" in scan and "In(term, [fox,the])" in scan
+
+
+DOCUMENTS = [(1, "The end of the road, the road of the king\nof the"), (2, "the cat and the dog\n\nof the day of the dog the day"), (None, "of the sea\nthe sea the sea"), (None, "of the hill and the sea below it\nthe"), (None, "no word\nlonger words follow here"), (7, "Élan of the naïve")]
+DOCUMENTS += [(i, f"word{i} and more") for i in range(10, 40)]
+
+
+def as_sql(spark, folder, name):
+    import duckdb
+
+    from foliolake.plans import registry
+
+    table = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(DOCUMENTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    wanted = con.sql(registry.ORACLES[name])
+    got = [tuple(r) for r in registry.QUERIES[name](spark, str(folder)).select(*wanted.columns).collect()]
+    return got, [tuple(r) for r in wanted.fetchall()]
+
+
+def test_terms_of_documents_without_an_id_are_counted_as_in_sql(spark, tmp_path):
+    got, wanted = as_sql(spark, tmp_path, "postings_terms")
+    assert sorted(got) == sorted(wanted) and ("sea", 4, 3) not in wanted and ("hill", 1, 1) in wanted
+
+
+def test_the_tokens_of_a_corpus_are_stored_without_a_shuffle(spark, tmp_path):
+    from foliolake.plans import fragments
+
+    as_sql(spark, tmp_path, "search_count")
+    index = fragments.index(spark, str(tmp_path))
+    assert index.rows.count() == sum(bool(line.strip()) for _, t in DOCUMENTS for line in t.split("\n"))
+    lines = fragments.lines(spark, str(tmp_path)).select("doc_id", "page", "seq", "body")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles(search.index_lines(lines)) == shuffles(lines)
+
+
+def test_plain_lines_are_stripped_and_split_as_others_are(spark):
+    texts = ["", " ", "\t a b \x0b\x1c\n", "a_b-C'd\"e 09", "x\x00y\x7fz \x1f", "\n\n", " a\n ", "A\x85b\x85", " é a ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select("t", X.strip(F.col("t")), X.tokens(F.col("t")))
+    slow = rows.select(F.regexp_replace("t", X.EDGES, ""), F.regexp_extract_all(X.fold(F.col("t")), F.lit(X._TOKEN), F.lit(0)))
+    assert [tuple(r)[1:] for r in rows.collect()] == [tuple(r) for r in slow.collect()]
