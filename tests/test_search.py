@@ -162,3 +162,8 @@ def test_plain_lines_are_stripped_and_split_as_others_are(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select("t", X.strip(F.col("t")), X.tokens(F.col("t")))
     slow = rows.select(F.regexp_replace("t", X.EDGES, ""), F.regexp_extract_all(X.fold(F.col("t")), F.lit(X._TOKEN), F.lit(0)))
     assert [tuple(r)[1:] for r in rows.collect()] == [tuple(r) for r in slow.collect()]
+
+
+def test_best_lines_of_documents_without_an_id_are_those_of_the_sql(spark, tmp_path):
+    got, wanted = as_sql(spark, tmp_path, "search_bm25_topk")
+    assert got == wanted and len({r[3] for r in wanted}) == len(wanted) and None in {r[0] for r in wanted}
