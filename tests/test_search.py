@@ -167,3 +167,8 @@ def test_plain_lines_are_stripped_and_split_as_others_are(spark):
 def test_best_lines_of_documents_without_an_id_are_those_of_the_sql(spark, tmp_path):
     got, wanted = as_sql(spark, tmp_path, "search_bm25_topk")
     assert got == wanted and len({r[3] for r in wanted}) == len(wanted) and None in {r[0] for r in wanted}
+
+
+def test_hits_meet_their_documents_as_in_the_sql(spark, tmp_path):
+    got, wanted = as_sql(spark, tmp_path, "search_join_jobs")
+    assert wanted and sorted(got) == sorted(wanted) and None not in {r[0] for r in wanted}
